@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_minhash
+from . import q_decontaminate, q_minhash
 
-_MODULES = [q_minhash]
+_MODULES = [q_decontaminate, q_minhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
