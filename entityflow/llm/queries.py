@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_decontaminate, q_minhash
+from . import q_decontaminate, q_media, q_minhash, q_mixing
 
-_MODULES = [q_decontaminate, q_minhash]
+_MODULES = [q_decontaminate, q_minhash, q_media, q_mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
