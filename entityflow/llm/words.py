@@ -18,8 +18,8 @@ import pyarrow as pa
 WINDOW = 1 << 20
 SLICE_BYTES = 4 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing: digits, a-z and everything beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
@@ -29,7 +29,7 @@ SPACED[0x20] = SPACED[0x09:0x0E] = False
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE = _BYTE[_LOWER]
+_BYTE = _BYTE[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -155,7 +155,7 @@ def tokenize(column: pa.Array, is_word: np.ndarray) -> Words:
 def lower_bytes(words: Words, index: np.ndarray) -> list[bytes]:
     """The lower-cased bytes of the words at index."""
     data = words.data
-    return [_LOWER[data[a:b]].tobytes() for a, b in zip(words.start[index].tolist(), words.end[index].tolist(), strict=True)]
+    return [LOWER[data[a:b]].tobytes() for a, b in zip(words.start[index].tolist(), words.end[index].tolist(), strict=True)]
 
 
 def word_hash(word: str) -> int:
