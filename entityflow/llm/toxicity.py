@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .sample import labelled_sample
 
 #: Most labelled documents, and bytes of their text, that the classifier is fitted on.
 MOST_TRAINING = 8000
@@ -146,20 +147,9 @@ def held_out(id: Column, folds: int = 5) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_TRAINING, most_bytes: int = MOST_TRAINING_BYTES) -> Model:
     """The model of labelled documents that are not held out: the `most` of the least MD5 of the id, as
     far as most_bytes of text reach. Null labels and texts do not train."""
-    known = labels.select(F.col(id).alias("_id"), F.col(label).alias("_y")).filter("_y is not null and _id is not null").filter(~held_out(F.col("_id"))).distinct()
-    chosen = known.orderBy(F.md5(F.col("_id").cast("string")), "_id", "_y").limit(most)
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
-    sizes = rows.join(F.broadcast(chosen.select("_id").distinct()), "_id").groupBy("_id").agg(F.sum(F.octet_length("_text")).alias("n"), F.md5(F.col("_id").cast("string")).alias("draw"))
-    taken, size = [], 0
-    for r in sorted(sizes.collect(), key=lambda r: (r["draw"], str(r["_id"]))):  # `most` rows at most
-        if size + r["n"] <= most_bytes:
-            taken.append(r["_id"])
-            size += r["n"]
-    if not taken:
-        return fit([], [])
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in taken], chosen.select("_id").schema)
-    got = sorted((str(r["_id"]), r["_text"], int(r["_y"])) for r in rows.join(F.broadcast(chosen.join(wanted, "_id")), "_id").collect())
-    return fit([t for _, t, _ in got], [y for *_, y in got])
+    known = labels.select(F.col(id).alias("_id"), F.col(label).alias("_y")).filter(~held_out(F.col("_id")))
+    got = labelled_sample(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), known, "_text", most, most_bytes)
+    return fit([t for t, _ in got], [int(y) for _, y in got])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", offending: float = 0.5) -> DataFrame:
