@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_decontaminate, q_lang_id, q_licenses, q_media, q_minhash, q_mixing, q_secrets, q_toxicity, q_url_filter
+from . import q_decontaminate, q_lang_id, q_licenses, q_media, q_minhash, q_mixing, q_paragraphs, q_secrets, q_toxicity, q_url_filter
 
-_MODULES = [q_lang_id, q_decontaminate, q_minhash, q_url_filter, q_media, q_licenses, q_secrets, q_toxicity, q_mixing]
+_MODULES = [q_lang_id, q_decontaminate, q_minhash, q_url_filter, q_media, q_licenses, q_paragraphs, q_secrets, q_toxicity, q_mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
