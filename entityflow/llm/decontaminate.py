@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.shipping import map_arrow
+
 from . import words as W
 
 #: Most bytes of test text in a block, the bound of what is sent to every task.
@@ -236,7 +238,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     for k in range(wide):
         got = (items.filter(block == k) if wide > 1 else items).collect()
         sent = spark.sparkContext.broadcast(index_items([r["item"] for r in got], [r["text"] for r in got], window))
-        read = read.mapInArrow(_searcher(sent, kind), schema + ", text string")
+        read = map_arrow(read, _searcher(sent, kind), schema + ", text string")
     return read.drop("text")
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from entityflow.shipping import map_arrow
+
 from . import words as W
 from .sample import labelled_sample
 from .store import checkpointed
@@ -103,7 +105,7 @@ def _scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
                 column = pa.array([None]).cast(lists.type).take(pa.array(np.zeros(len(none), dtype=np.int64))) if none.all() else lists.take(pa.array(np.arange(len(none)), mask=none))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "_logs"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_logs", T.ArrayType(T.DoubleType()))]))
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_logs", T.ArrayType(T.DoubleType()))]))
 
 
 def suffix_of(host: Column) -> Column:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.shipping import map_arrow
+
 from . import words as W
 
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -149,7 +151,7 @@ def block_counts(docs: DataFrame, text: str, phrases: tuple, templates: tuple) -
                 total += np.bincount(pairs[1].astype(np.int64), minlength=len(vocab))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocab)), pa.int32()), pa.array(total)], ["word", "n"])
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word int, n long")
+    counted = map_arrow(docs.select(F.col(text).cast("string").alias("text")), run, "word int, n long")
     return {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -187,4 +189,4 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", phras
 
     read = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(run, f"doc_id {kind}, n_words long, base array<struct<start:long,label:string>>, blocks array<struct<start:long,label:string,containment:double>>, score double")
+    return map_arrow(read, run, f"doc_id {kind}, n_words long, base array<struct<start:long,label:string>>, blocks array<struct<start:long,label:string,containment:double>>, score double")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.shipping import map_arrow
+
 from . import words as W
 
 UNIT = 192
@@ -118,4 +120,4 @@ def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", keep:
     read = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_pairs long, feature string"
-    return read.mapInArrow(run, ", ".join([schema, *(_COLUMNS[k] for k in extra)]))
+    return map_arrow(read, run, ", ".join([schema, *(_COLUMNS[k] for k in extra)]))

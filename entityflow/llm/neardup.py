@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.shipping import map_arrow
+
 from . import words as W
 from .components import components
 from .sketch import MinHash, fingerprint
@@ -77,7 +79,7 @@ def sketched(texts: DataFrame, how: Likeness) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_shingles", "one", "two", "keys"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, n_shingles long, one long, two long, keys array<long>")
+    return map_arrow(texts.select("id", "text"), run, f"id {kind}, n_words long, n_shingles long, one long, two long, keys array<long>")
 
 
 def _candidates(texts: DataFrame, keys: DataFrame, how: Likeness) -> DataFrame:
@@ -98,7 +100,7 @@ def _candidates(texts: DataFrame, keys: DataFrame, how: Likeness) -> DataFrame:
                 arrays = [pa.array(one[rows].view(np.int64)), pa.array(n[rows], pa.int64()), _lists(found[inside].view(np.int64), inside.sum(axis=1), pa.int64()), pa.array([x.tobytes() for x in low], pa.binary()), batch.column("text").take(pa.array(rows))]
                 yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "keys", "minima", "text"])
 
-    return texts.select("text").mapInArrow(run, "node long, n long, keys array<long>, minima binary, text string").dropDuplicates(["node"])
+    return map_arrow(texts.select("text"), run, "node long, n long, keys array<long>, minima binary, text string").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, how: Likeness) -> DataFrame:
@@ -127,10 +129,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, how: Likeness) -> DataFrame:
     brief = nodes.select("node", "n", "minima")
     left, right = (brief.toDF(*names) for names in (("src", "n", "minima"), ("dst", "n2", "minima2")))
     near = pairs.join(left, "src").join(right, "dst").filter(F.least("n", "n2") * how.whole >= F.greatest("n", "n2") * how.part)
-    likely = near.select("src", "dst", "minima", "minima2").mapInArrow(agree, "src long, dst long")
+    likely = map_arrow(near.select("src", "dst", "minima", "minima2"), agree, "src long, dst long")
     long = nodes.select("node", "text")
     left, right = (long.toDF(*names) for names in (("src", "text"), ("dst", "text2")))
-    return likely.join(left, "src").join(right, "dst").select("src", "dst", "text", "text2").mapInArrow(same, "src long, dst long")
+    return map_arrow(likely.join(left, "src").join(right, "dst").select("src", "dst", "text", "text2"), same, "src long, dst long")
 
 
 def near_classes(texts: DataFrame, how: Likeness) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entityflow.shipping import map_arrow
+
 from . import words as W
 from .sample import labelled_sample
 
@@ -175,7 +177,7 @@ def score_toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(noisy_or(row, score, n)), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(offends, kind)], ["doc_id", "score", "sentences", "offends"])
 
     read = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, score double, sentences long, offends array<struct<start:long,score:double>>")
+    return map_arrow(read, run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, score double, sentences long, offends array<struct<start:long,score:double>>")
 
 
 def crc_fold(id: object) -> int:
