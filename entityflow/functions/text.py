@@ -52,7 +52,7 @@ def slug(name: Column) -> Column:
 
 def title_parts(title: Column) -> Column:
     """array<struct(pos, name)>: the first three parts that do not just say home, of 2 to 90 characters."""
-    parts = F.filter(F.transform(F.split(title, SEPARATOR), F.trim), lambda p: ~F.lower(p).isin("home", "homepage"))
+    parts = F.filter(F.transform(F.split(title, SEPARATOR), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin("home", "homepage"))
     placed = F.transform(F.slice(parts, 1, 3), lambda p, i: F.struct(i.alias("pos"), p.alias("name")))
     return F.filter(placed, lambda p: F.length(p["name"]).between(2, 90))
 
