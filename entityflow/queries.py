@@ -473,3 +473,16 @@ def identity_agreement(spark: SparkSession, d: str) -> DataFrame:
     signal = lambda pos, context, n: F.struct(F.lit(pos).alias("pos"), F.lit(context).alias("context"), n.alias("name"))
     signals = p.select(F.col("page_id").alias("page"), F.explode(F.filter(F.array(signal(0, "title", name), signal(1, "copyright", F.when(F.col("page_id") % 3 == 0, name).otherwise("Other")), F.when(F.col("page_id") % 6 == 1, signal(2, "logo", F.lit("Other")))), lambda x: x.isNotNull())).alias("s")).select("page", "s.*")
     return weak_agreement(p.select(F.col("page_id").alias("page")), signals.withColumn("key", F.lower("name")))
+
+
+# decisions (no SQL: HTML trees and a decision tree; FIXTURES.md cases are in tests)
+
+
+@query()
+def resolve_pages(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.resolve import resolve
+
+    pages = table(spark, d, "pages")
+    corpus = pages.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
+    results = pages.select(F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("query"), "url")
+    return resolve(results, corpus).select("query", "discovered_url", "status", "name", F.col("url").alias("entrypoint"), "reason")
