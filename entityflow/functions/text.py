@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEGAL = ("aps", "as", "ab", "ag", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "ltd", "plc", "srl", r"s\.l\.", r"s\.a\.")
+LEGAL = ("aps", "as", "ab", "ag", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "ltd", "plc", "srl", r"s\.l", r"s\.a")
 SEPARATOR = r"\s+[|–—-]\s+|\s*\|\s*"
 _NOUN = r"(?:product|service|solution)s?|produtos|serviços|soluções"
 OFFER_LABEL = rf"(?iu)^(?:platforms?|shop|buy (?:our |the )?[\w -]{{2,60}}|{_NOUN})(?:\s+(?:&|e|and)\s+(?:{_NOUN}))?$"
