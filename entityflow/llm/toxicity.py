@@ -29,6 +29,7 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True  # line ends and . ! ?
 
 
+_PIECE, _SLOTS = 1 << 20, 1 << 22
 #: Bytes of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6)
 
@@ -95,13 +96,47 @@ def noisy_or(row: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, np.log1p(-np.minimum(score, 1 - 1e-12)), n))
 
 
-def _telling(both: np.ndarray, toxic: np.ndarray, rate: float, error: float = 0.05) -> np.ndarray:
+def _telling(both: np.ndarray, toxic: np.ndarray, rate: float, error: float = 0.05, many: int = 0) -> np.ndarray:
     """Features whose documents are toxic more or less often than the rate by more than chance allows:
-    the Chernoff bound of the binomial tail, with Bonferroni's correction for their number."""
+    the Chernoff bound of the binomial tail, with Bonferroni's correction for their number (or `many`)."""
     n, p = np.maximum(both, 1), toxic / np.maximum(both, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(p > 0, p * np.log(p / rate), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - rate)), 0)
-    return n * gain >= np.log(max(len(both), 1) / error)
+    return n * gain >= np.log(max(many, len(both), 1) / error)
+
+
+def _wanted(batch: pa.RecordBatch, y: np.ndarray) -> np.ndarray:
+    """Hashes of the telling features, ascending. Documents are counted in slots of a hash first, then
+    exactly for the features of telling slots; the text is taken in pieces, for the driver's memory."""
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        d = 0
+        for part in W.slices(batch, "text", _PIECE):
+            words = W.tokenize(part.column(0), W.ALNUM)
+            for number, value in families(words):
+                row, kept = _distinct(words.row[number], value)
+                yield y[row + d], kept
+            d += part.num_rows
+
+    both, bad = np.zeros(_SLOTS, dtype=np.int32), np.zeros(_SLOTS, dtype=np.int32)
+    slot = lambda value: (value & np.uint64(_SLOTS - 1)).astype(np.int64)
+    for toxic, value in pieces():
+        at, inverse = np.unique(slot(value), return_inverse=True)
+        both[at] += np.bincount(inverse, minlength=len(at)).astype(np.int32)
+        bad[at] += np.bincount(inverse, toxic, len(at)).astype(np.int32)
+    used = np.flatnonzero(both)
+    telling = np.zeros(_SLOTS, dtype=bool)
+    telling[used] = _telling(both[used], bad[used], y.mean())
+    counts: dict[int, list[int]] = {}
+    for toxic, value in pieces():
+        hit = telling[slot(value)]
+        for v, t in zip(value[hit].tolist(), toxic[hit].tolist(), strict=True):
+            c = counts.setdefault(v, [0, 0])
+            c[0] += 1
+            c[1] += int(t)
+    exact = np.array([(v, *c) for v, c in counts.items()], dtype=np.uint64).reshape(-1, 3)
+    keep = _telling(exact[:, 1].astype(np.int64), exact[:, 2].astype(np.int64), y.mean(), many=len(used))
+    return np.sort(exact[keep, 0])
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 150) -> Model:
@@ -111,18 +146,19 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150) -> Model:
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(empty, np.zeros(0), 12.0 if len(y) and y[0] == 1 else -12.0)
-    words = W.tokenize(pa.array(texts, pa.string()), W.ALNUM)
-    sentence = sentences(words)
-    kept = []
-    for number, value in families(words):  # one kind of feature at a time, for the driver's memory
-        vocab, inverse = np.unique(value, return_inverse=True)
-        r, v = _distinct(words.row[number], inverse)
-        keep = _telling(np.bincount(v, minlength=len(vocab)), np.bincount(v, y[r], len(vocab)), y.mean())
-        kept.append(vocab[keep])
-    wanted = np.unique(np.concatenate(kept))
-    first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if len(sentence) else sentence
-    row, n, d = words.row[first], len(first), len(y)
-    s, w = _found(words, wanted, sentence)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    wanted = _wanted(batch, y)
+    found, rows, n, d = [], [], 0, 0
+    for part in W.slices(batch, "text", _PIECE):
+        words = W.tokenize(part.column(0), W.ALNUM)
+        sentence = sentences(words)
+        first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if len(sentence) else sentence
+        s, w = _found(words, wanted, sentence)
+        found.append((s + n, w))
+        rows.append(words.row[first] + d)
+        n, d = n + len(first), d + part.num_rows
+    s, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    row = np.concatenate(rows)
     weights, bias = np.zeros(len(wanted)), -4.0
     m, q, mb, qb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     rate = 0.1
