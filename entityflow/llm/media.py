@@ -72,10 +72,10 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(samples: np.ndarray) -> np.ndarray:
-    """Pairs of a peak with each peak of the AHEAD frames after its own: time << 32 | bin << 16 |
+    """Pairs of a peak with each higher peak of its frame and each peak of the AHEAD frames after: time << 32 | bin << 16 |
     other bin << 4 | distance in frames, in ascending order."""
     time, bin_ = peaks(samples)
-    first = np.searchsorted(time, time + 1)
+    first = np.arange(1, len(time) + 1)
     last = np.searchsorted(time, time + AHEAD + 1)
     size = last - first
     a = np.repeat(np.arange(len(time)), size)
@@ -110,7 +110,7 @@ def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", keep:
                     pairs = fingerprints(np.frombuffer(payload, dtype=np.uint8))
                     values = {
                         "n_bytes": b - a, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-                        "n_frames": len(payload) // STEP, "n_pairs": len(pairs), "feature": hashlib.sha256(pairs.astype("<i8").tobytes()).hexdigest(), "media": media, "fingerprints": pairs,
+                        "n_frames": max(1, len(payload) // STEP - 1), "n_pairs": len(pairs), "feature": hashlib.sha256(pairs.astype("<i8").tobytes()).hexdigest(), "media": media, "fingerprints": pairs,
                     }
                     for k in out:
                         out[k].append(values[k])
