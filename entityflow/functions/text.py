@@ -86,3 +86,34 @@ def json_strings(values: Column) -> Column:
 
 def is_identifier(text: Column) -> Column:
     return text.rlike("^[A-Za-z0-9]+$")
+
+
+def api_error(kind: Column, message: Column) -> Column:
+    """type: message of a provider's error, masked, white space squeezed, 500 characters each at most."""
+    from .urls import redacted
+
+    one = lambda c: F.substring(squeezed(redacted(F.coalesce(c, F.lit("")))), 1, 500)
+    return F.concat_ws(": ", F.nullif(one(kind), F.lit("")), F.nullif(one(message), F.lit("")))
+
+
+def type_names(types: Column) -> Column:
+    """The last path segments of JSON-LD types, each once, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(types, lambda t: F.substring_index(t, "/", -1))))
+
+
+def page_gate(kind: Column, status: Column, content_type: Column, title: Column) -> Column:
+    """Why a fetched page is no evidence, in order of precedence, or null."""
+    plain = F.trim(F.lower(F.substring_index(content_type, ";", 1)))
+    return (
+        F.when(kind.isNotNull(), "non_institutional_source")
+        .when(status != 200, F.concat(F.lit("site_http_"), status.cast("string")))
+        .when(~plain.isin("text/html", "application/xhtml+xml"), "site_not_html")
+        .when(title.rlike(INTERSTITIAL), "site_interstitial")
+        .when(title.rlike(PORTAL) | title.rlike(HEADLINES), "non_institutional_source")
+    )
+
+
+def home_order(declared: Column, links: Column, root: Column) -> Column:
+    """Home candidates: a declared locale root, links by length then spelling, the root; each once."""
+    by_length = F.transform(F.array_sort(F.transform(links, lambda u: F.struct(F.length(u).alias("n"), u.alias("u")))), lambda x: x["u"])
+    return F.array_distinct(F.filter(F.concat(F.array(declared), by_length, F.array(root)), lambda u: u.isNotNull()))

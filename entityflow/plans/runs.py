@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import frontier
@@ -17,8 +17,15 @@ Resolver = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def chain(pages: DataFrame) -> DataFrame:
-    """Parsed pages with idx (from 1) and has_next along each query's chain by start."""
-    return pages.withColumn("idx", F.row_number().over(Window.partitionBy("query").orderBy("start"))).withColumn("has_next", F.col("next_start").isNotNull())
+    """Parsed pages (query, start, next_start, ...) that a query's chain reaches from its first page, with
+    idx (from 1) and has_next. Offsets may grow by any step; pages beside the chain are left out.
+
+    A query's pages are few (its depth), so each chain is a fold over one small sorted array."""
+    steps = pages.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("start", "next_start"))).alias("p"))
+    walk = """aggregate(p, named_struct('want', p[0].start, 'got', cast(array() as array<int>)), (a, x) ->
+        case when x.start = a.want then named_struct('want', x.next_start, 'got', concat(a.got, array(x.start))) else a end, a -> a.got)"""
+    placed = steps.select("query", F.posexplode(F.expr(walk)).alias("at", "start")).select("query", "start", (F.col("at") + 1).alias("idx"))
+    return pages.join(placed, ["query", "start"]).withColumn("has_next", F.col("next_start").isNotNull())
 
 
 def discover(state: State, corpus: DataFrame, max_pages: int = 3, retry_pending: bool = False, resolver: Resolver = resolve) -> DataFrame:

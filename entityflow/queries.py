@@ -486,3 +486,113 @@ def resolve_pages(spark: SparkSession, d: str) -> DataFrame:
     corpus = pages.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "html")
     results = pages.select(F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("query"), "url")
     return resolve(results, corpus).select("query", "discovered_url", "status", "name", F.col("url").alias("entrypoint"), "reason")
+
+
+# stored state: lookups, scans, counters
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE conv_id = 7 AND turn = 0")
+def page_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").filter("conv_id = 7 and turn = 0").select("conv_id", "turn", "text")
+
+
+@query("SELECT turn, role, row_number() OVER (ORDER BY turn)::BIGINT AS place FROM conversations WHERE conv_id = 3")
+def saved_pages(spark: SparkSession, d: str) -> DataFrame:
+    one = table(spark, d, "conversations").filter("conv_id = 3")  # one query's pages
+    return one.select("turn", "role", F.row_number().over(frontier.Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("place"))
+
+
+@query("SELECT o_custkey AS query, o_orderkey AS discovered_url FROM orders ORDER BY o_custkey, o_orderkey")
+def ordered_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("discovered_url")).orderBy("query", "discovered_url")
+
+
+@query("SELECT c.c_custkey AS query, o.n AS pages FROM customer c LEFT JOIN (SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey")
+def coverage_lookup(spark: SparkSession, d: str) -> DataFrame:
+    stored = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("query")).agg(F.count(F.lit(1)).alias("pages"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("query")).join(stored, "query", "left")
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "abandoned").when(F.col("o_orderkey") % 2 == 0, "running").otherwise("planned")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("reserved_pages"), state.alias("status"))
+
+
+@query("SELECT min(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'P'")
+def open_batch(spark: SparkSession, d: str) -> DataFrame:
+    return planner.open_batch(_batches(spark, d)).select("id")
+
+
+@query("SELECT coalesce(sum(o_custkey), 0)::BIGINT AS reserved, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done FROM orders")
+def reserved_sum(spark: SparkSession, d: str) -> DataFrame:
+    rows = _batches(spark, d)
+    return rows.agg(F.coalesce(F.sum("reserved_pages"), F.lit(0)).alias("reserved"), F.count_if(F.col("status") == "done").alias("done"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'done' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'abandoned' ELSE 'planned' END AS status FROM orders")
+def batch_transitions(spark: SparkSession, d: str) -> DataFrame:
+    allowed = F.when(F.col("status") == "running", "done").otherwise(F.col("status"))
+    return _batches(spark, d).select("id", allowed.alias("status"))
+
+
+@query("SELECT string_agg(n_name || '=' || n_regionkey::VARCHAR, ';' ORDER BY n_name) AS metadata FROM nation")
+def export_metadata(spark: SparkSession, d: str) -> DataFrame:
+    entries = F.array_sort(F.map_entries(F.map_from_entries(F.collect_list(F.struct("n_name", F.col("n_regionkey").cast("string"))))))
+    return table(spark, d, "nation").agg(F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("metadata"))
+
+
+@query("SELECT CASE WHEN count(*) FILTER (o_orderstatus <> 'F') > 0 THEN 2 ELSE 0 END AS code FROM orders")
+def exit_code(spark: SparkSession, d: str) -> DataFrame:
+    progress = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "complete").otherwise("incomplete").alias("status"))
+    return spark.createDataFrame([(coverage.exit_code(False, progress, progress.limit(0)),)], "code int")
+
+
+# text and JSON scalars
+
+
+@query("""SELECT doc_id, regexp_extract(left(text, 60), '(?i)\\b(of the|in the|de la|und der)\\b', 1) AS phrase, string_agg(DISTINCT x, ',' ORDER BY x) AS types FROM (SELECT doc_id, text, unnest([lang, source, 'schema/' || lang]) AS y, string_split(y, '/')[-1] AS x FROM documents) GROUP BY doc_id, text""")
+def phrase_and_types(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    types = F.array(F.col("lang"), F.col("source"), F.concat(F.lit("schema/"), F.col("lang")))
+    return docs.select("doc_id", F.regexp_extract(F.substring("text", 1, 60), r"(?i)\b(of the|in the|de la|und der)\b", 1).alias("phrase"), F.array_join(T.type_names(types), ",").alias("types"))
+
+
+@query(f"""SELECT page_id, CASE WHEN ends_with({_HOST}, 'example.org') THEN 'non_institutional_source' WHEN page_id % 7 = 0 THEN 'site_http_403' WHEN page_id % 5 = 0 THEN 'site_not_html' WHEN page_id % 3 = 0 THEN 'site_interstitial' END AS error FROM pages""")
+def page_gate(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    kind = frontier.gate_kind(U.hostname(F.col("url")), {"example.org": "listing_source"})
+    status = F.when(F.col("page_id") % 7 == 0, 403).otherwise(200)
+    content = F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    title = F.when(F.col("page_id") % 3 == 0, "Access denied").otherwise("A page")
+    return p.select("page_id", T.page_gate(kind, status, content, title).alias("error"))
+
+
+@query("SELECT event_id, left(event_type, 500) || ': ' || trim(regexp_replace(props, '\\s+', ' ', 'g')) AS error FROM events")
+def api_error_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", T.api_error(F.col("event_type"), F.col("props")).alias("error"))
+
+
+@query("""SELECT n_nationkey, string_agg(u, ' ' ORDER BY k) AS homes FROM (SELECT n_nationkey, u, min(k) AS k FROM (SELECT n_nationkey, unnest([n_name, 'https://x/']) AS u, unnest([1, 3]) AS k FROM nation
+    UNION ALL SELECT n_nationkey, 'https://x/' || repeat('a', (n_nationkey * i) % 7), 2 + ((n_nationkey * i) % 7) / 10.0 FROM nation, range(1, 4) r(i)) GROUP BY 1, 2) GROUP BY 1""")
+def home_candidates(spark: SparkSession, d: str) -> DataFrame:
+    links = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.concat(F.lit("https://x/"), F.repeat(F.lit("a"), (F.col("n_nationkey") * i % 7).cast("int"))))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(T.home_order(F.col("n_name"), links, F.lit("https://x/")), " ").alias("homes"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 < 2 THEN 'q' END AS term, CASE WHEN page_id % 4 < 2 THEN (page_id % 5 + 1)::INT END AS page FROM pages")
+def failed_requests(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    address = F.concat(F.when(k == 0, "https://www.google.com").when(k == 1, "http://google.com.br:80").when(k == 2, "https://google.evil.example").otherwise("https://u:p@google.com"), F.lit("/search?q=q&start="), (F.col("page_id") % 5 * 10).cast("string"))
+    got = payloads.mapped_failure(address, F.array(F.lit("q")), 5)
+    return table(spark, d, "pages").select("page_id", got["term"].alias("term"), got["page"].alias("page"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT c_nationkey AS query, c_custkey AS start, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey + 1 + c_custkey % 3 END AS nxt FROM customer),
+    walk(query, start, nxt, idx) AS (SELECT * , 1 FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY start) = 1 UNION ALL SELECT s.query, s.start, s.nxt, w.idx + 1 FROM walk w JOIN s ON s.query = w.query AND s.start = w.nxt)
+    SELECT query, start::INT AS start, idx::INT AS idx FROM walk""")
+def page_chain(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.runs import chain
+
+    k = F.col("c_custkey").cast("int")
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("query"), k.alias("start"), F.when(k % 5 != 0, k + 1 + k % 3).alias("next_start"))
+    return chain(rows).select("query", "start", "idx")
