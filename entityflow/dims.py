@@ -22,7 +22,7 @@ INSTITUTIONS = frozenset("CollegeOrUniversity EducationalOrganization Government
 RECOVERABLE = frozenset([*(f"site_http_{n}" for n in (202, 203, 403, 429, 503)), "network_failure", "response_too_large", "site_not_html"])
 #: Reasons of decisions that are final without evidence against the site.
 NOT_INSTITUTIONAL = frozenset(["non_institutional_source", "editorial_or_listing_page"])
-AUDIT_STRATA = ("missing_or_ambiguous_company_identity", "site_http_403", "editorial_or_listing_page", "site_http_203", "non_institutional_source")
+AUDIT_STRATA = tuple("missing_or_ambiguous_company_identity site_http_403 editorial_or_listing_page site_http_203 non_institutional_source".split())
 
 
 def domains(spark: SparkSession) -> DataFrame:

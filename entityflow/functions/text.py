@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEGAL = ("aps", "as", "ab", "ag", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "ltd", "plc", "srl", r"s\.l", r"s\.a")
-SEPARATOR = r"\s+[|–—-]\s+|\s*\|\s*"
+SEPARATOR = r"\s*[|]\s*|\s+(?:–|—|-)\s+"
 _NOUN = r"(?:product|service|solution)s?|produtos|serviços|soluções"
 OFFER_LABEL = rf"(?iu)^(?:platforms?|shop|buy (?:our |the )?[\w -]{{2,60}}|{_NOUN})(?:\s+(?:&|e|and)\s+(?:{_NOUN}))?$"
 OFFER_PHRASE = (
@@ -19,14 +19,12 @@ INTERSTITIAL = (
     r"(?iu)^\s*(?:403 forbidden|page not found|service unavailable|(?:log|sign) in to continue|verify you(?: are|'re) human"
     r"|attention required|access denied|just a moment|cookies? (?:are )?(?:required|not supported))"
 )
-ABOUT_LABEL = r"(?iu)^(?:quem somos|sobre(?: nós)?|contact(?: us)?|company|about(?: [\w -]{1,60})?)$"
+ABOUT_LABEL = r"(?iu)^(?:quem somos|sobre(?: nós)?|contact(?: us)?|company|about(?: [ \w-]{1,60}){0,1})$"
 NEWS = r"(?iu)independent news (?:publisher|site)|editorial standards"
 PORTAL = r"(?iu)(?:^|[|])\s*(?:publication repository|research (?:communities|portal))(?!\w)"
 HEADLINES = r"(?iu)latest breaking news|today['’]s headlines"
-NOTICE = (
-    r"(?iu)^(?:copyright\s*[:-]?\s*[©ⓒ]?\s*|[©ⓒ]\s*(?:copyright\s*)?)"
-    r"(?:\d{4}(?:\s*[–-]\s*\d{4})?\s*)?(?:by\s+)?([^\W_].*)$"
-)
+_YEAR = "[0-9]{4}"
+NOTICE = rf"(?iu)^(?:copyright\s*[:-]?\s*[©ⓒ]?\s*|[©ⓒ]\s*(?:copyright\s*)?)(?:{_YEAR}(?:\s*[–-]\s*{_YEAR})?\s*)?(?:by\s+|)((?!_)\w.*)$"
 NOTICE_END = r"(?iu)\btodos os direitos\b|\ball\s+rights\b|[©|]"
 
 
@@ -46,7 +44,7 @@ def name_key(name: Column) -> Column:
 
 def slug(name: Column) -> Column:
     """Directory name of an ASCII name; empty if nothing is left."""
-    kept = F.regexp_replace(F.regexp_replace(name, r"[^\x00-\x7f]", ""), r"[^A-Za-z0-9._-]+", "-")
+    kept = F.regexp_replace(F.regexp_replace(name, r"[^\x00-\x7f]", ""), r"[^._A-Za-z0-9-]+", "-")
     return F.lower(F.regexp_replace(kept, r"^[._-]+|[._-]+$", ""))
 
 

@@ -131,7 +131,7 @@ def has_error_parameter(url: Column) -> Column:
 
 
 def is_locale_root(path: Column) -> Column:
-    return path.rlike(r"(?i)^/(?:[a-z]{2}(?:-[a-z]{2})?)?/?$")
+    return path.rlike(r"(?i)^/(?:[a-z][a-z](?:-[a-z][a-z])?/?)?$")
 
 
 def is_editorial_path(path: Column) -> Column:

@@ -32,7 +32,7 @@ def search_details(results: DataFrame) -> DataFrame:
     return results.groupBy("query", "url").agg(F.array_sort(F.collect_set("title")).alias("titles"), F.array_sort(F.collect_set("snippet")).alias("snippets"))
 
 
-def changes(before: DataFrame, after: DataFrame, key: tuple[str, ...] = ("query", "discovered_url"), compared: tuple[str, ...] = ("status", "name", "url", "reason")) -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, key: tuple[str, ...] = ("query", "discovered_url"), compared: tuple[str, ...] = tuple("status name url reason".split())) -> DataFrame:
     """Rows of after that differ from before in a compared column, with before_<column>; a row that was
     not there counts, a row that went does not."""
     old = before.select(*key, *(F.col(c).alias(f"before_{c}") for c in compared), F.lit(True).alias("_old"))

@@ -13,7 +13,7 @@ from . import pages as P
 
 POLICY_VERSION = 3
 MOST_INSPECTED = 5
-_LOCALE = re.compile(r"/(?:[a-z]{2}(?:-[a-z]{2})?)?/?", re.I)
+_LOCALE = re.compile("/(?:[a-z][a-z](?:-[a-z][a-z])?/?)?", re.I)
 
 
 class Decision(NamedTuple):

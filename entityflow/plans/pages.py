@@ -27,6 +27,7 @@ OFFER_LABEL, OFFER_PHRASE, INSTITUTION, INTERSTITIAL, ABOUT, NEWS, PORTAL, HEADL
 )
 SEPARATOR = re.compile(T.SEPARATOR)
 LEGAL = re.compile(rf"[\s,.]+(?:(?:pte|pty)\.?\s+)?(?:{'|'.join(T.LEGAL)})\.?$")
+LOGO = re.compile(r"\blogo\b", re.I)
 CONSENT = re.compile(r"cookie-(?:banner|consent)|onetrust|didomi|cmplz", re.I)
 UNSEEN = frozenset(["script", "style", "noscript", "template"])
 HOME_LABELS = frozenset(["home", "homepage", "inicio", "início", "página inicial"])
@@ -52,9 +53,10 @@ def normalize(url: str) -> str | None:
 
 def host(url: str) -> str:
     try:
-        return (urlsplit(url).hostname or "").lower().removeprefix("www.")
+        place = urlsplit(url).hostname
     except ValueError:
         return ""
+    return re.sub(r"^www\.", "", place.lower()) if place else ""
 
 
 def listed_kind(url: str) -> str | None:
@@ -74,7 +76,8 @@ def _joined(base: str, href: str) -> str | None:
 
 
 def name_key(name: str) -> str:
-    text = unicodedata.normalize("NFKD", entities.unescape(name)).casefold().strip(" ,.-")
+    plain = unicodedata.normalize("NFKD", entities.unescape(name))
+    text = re.sub("^[-,. ]+|[-,. ]+$", "", plain.casefold())
     text = LEGAL.sub("", re.sub(r"\.(?:com|org|net)$", "", text))
     return "".join(c for c in text if c.isalnum() and not unicodedata.combining(c))
 
@@ -118,8 +121,9 @@ def linked_data(root: Node) -> list[dict]:
 
 
 def node_types(node: dict) -> set[str]:
-    value = node.get("@type", [])
-    return {str(x).split("/")[-1] for x in (value if isinstance(value, list) else [value])}
+    said = node["@type"] if "@type" in node else []
+    listed = said if isinstance(said, list) else [said]
+    return {str(x).split("/")[-1] for x in listed}
 
 
 def visible(root: Node, *without: str) -> str:
@@ -139,7 +143,7 @@ def owners(root: Node) -> list[str]:
         chain = list(s.parent.up())
         if any(p.name in UNSEEN or p.name in ("svg", "title", "a") for p in chain):
             continue
-        if not any(p.name == "footer" or p.get("role") == "contentinfo" or re.search("footer|copyright", p.marks, re.I) for p in chain):
+        if not any("footer" == p.name or "contentinfo" == p.get("role") or re.search("copyright|footer", p.marks, re.I) for p in chain):
             continue
         said = str(s).strip()
         match = NOTICE.match(said) if len(said) <= 250 else None
@@ -161,7 +165,7 @@ def _structured(root: Node, base: str, nodes: list[dict]) -> list[Signal]:
     for node in nodes:
         kinds = node_types(node)
         context = "organization" if kinds & ORGANISATIONS else "website" if "WebSite" in kinds else ""
-        name, url = node.get("name"), node.get("url")
+        name, url = (node.get(k) for k in ("name", "url"))
         if not context or not isinstance(name, str) or not name.strip() or not isinstance(url, str):
             continue
         target = _joined(base, url)
@@ -183,9 +187,9 @@ def _weak(root: Node) -> list[Signal]:
         out += [Signal("title", p) for p in parts[:3] if 2 <= len(p) <= 90]
     for image in root.all("img"):
         if "alt" in image.attributes and "logo" in f"{image.get('id')} {image.get('src')} {image.get('alt')}".lower():
-            name = re.sub(r"\blogo\b", "", image.get("alt"), flags=re.I).strip(" -|")
-            if 2 <= len(name) <= 90:
-                out.append(Signal("logo", name))
+            brand = LOGO.sub("", image.get("alt")).strip("|- ")
+            if 90 >= len(brand) >= 2:
+                out.append(Signal("logo", brand))
     out += [Signal("copyright", x) for x in owners(root)]
     seen = visible(root)
     for s in [x for x in out if x.context == "title"]:
@@ -296,7 +300,7 @@ def evidence(url: str, root: Node) -> Page:
     name, signals, conflict = identity(root, url, nodes)
     candidates = set()
     for node in nodes:
-        who, where = node.get("name"), node.get("url")
+        who, where = (node.get(k) for k in ("name", "url"))
         if node_types(node) & ORGANISATIONS and isinstance(who, str) and who.strip() and isinstance(where, str):
             target = _joined(url, where)
             if target is not None and host(target) == host(url):

@@ -88,7 +88,7 @@ def url_redacted_location(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", U.source_location(F.col("url")).alias("location"))
 
 
-@query(f"SELECT page_id, {_PATH} SIMILAR TO '/([a-z][a-z](-[a-z][a-z])?)?/?' AS locale_root, regexp_matches({_PATH}, '(?i)/(?:blog|news|noticias|notícias|articles?|press|compare|reviews?)(?:/|$)') AS editorial, regexp_matches('&' || {_QUERY}, '(?i)&error=.') AS error_parameter, TRY_CAST(regexp_extract('&' || {_QUERY}, '&page=([^&]*)', 1) AS INT) AS page FROM pages")
+@query(f"SELECT page_id, {_PATH} SIMILAR TO '/([a-z][a-z](-[a-z][a-z])?)?/?' AS locale_root, regexp_matches({_PATH}, '(?i)/(?:articles?|blog|compare|news|noticias|notícias|press|reviews?)(?:/|$)') AS editorial, regexp_matches('&' || {_QUERY}, '(?i)&error=.') AS error_parameter, TRY_CAST(regexp_extract('&' || {_QUERY}, '&page=([^&]*)', 1) AS INT) AS page FROM pages")
 def url_predicates(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("url")
     return table(spark, d, "pages").select("page_id", U.is_locale_root(U.raw_path(url)).alias("locale_root"), U.is_editorial_path(U.raw_path(url)).alias("editorial"), U.has_error_parameter(url).alias("error_parameter"), U.query_value(url, "page").try_cast("int").alias("page"))

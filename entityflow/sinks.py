@@ -87,7 +87,7 @@ def export(resolutions: DataFrame, progress: DataFrame, folder: str, metadata: d
     return report
 
 
-AUDIT_COLUMNS = ["CaseID", "Reason", "SourceURL", "Host", "Queries", "SearchTitles", "SearchSnippets", "StoredStatuses", "UpdatedStatuses", "ReviewOutcome", "ReviewerNotes"]
+AUDIT_COLUMNS = "CaseID Reason SourceURL Host Queries SearchTitles SearchSnippets StoredStatuses UpdatedStatuses ReviewOutcome ReviewerNotes".split()
 
 
 def audit_bundle(resolutions: DataFrame, details: DataFrame, progress: DataFrame, folder: str, size: int = 20, seed: int = 42, reclassify: bool = False) -> dict:
@@ -109,7 +109,7 @@ def audit_bundle(resolutions: DataFrame, details: DataFrame, progress: DataFrame
     _replace(path / "audit_cases.csv", csv_parts(shown.toLocalIterator(), AUDIT_COLUMNS))
     _replace(path / "audit_summary.json", [json.dumps(summary, ensure_ascii=False).encode()])
     with zipfile.ZipFile(path / "audit_bundle.zip", "w", zipfile.ZIP_DEFLATED) as out:
-        for name in ("audit_cases.csv", "audit_summary.json", "companies.csv", "handoff.json", "handoff.metadata.json", "pending.json", "report.json"):
+        for name in "audit_summary.json audit_cases.csv report.json companies.csv pending.json handoff.metadata.json handoff.json".split():
             out.write(path / name, name)
     return summary
 

@@ -7,16 +7,16 @@ import pytest
 from entityflow.plans import pages as P
 from entityflow.plans.decide import decide
 
-ROOT = "https://supplier.example.org/"
-OFFER = '<nav><a href="/services">Services</a></nav>'
+ROOT = "https://firm.example.org/"
+OFFER = '<ul><a class="x" href="/services">Services</a></ul>'
 
 
 def ld(*nodes):
     return f'<script type="application/ld+json">{json.dumps(list(nodes))}</script>'
 
 
-def org(name="Synthetic Supplier", kind="Organization", url=ROOT, **more):
-    return {"@type": kind, "name": name, "url": url} | more
+def org(name="Blue Lantern", kind="Organization", url=ROOT, **more):
+    return {"name": name, "@type": kind} | {"url": url} | more
 
 
 ORG, WEB = ld(org()), ld(org(kind="WebSite"))
@@ -40,12 +40,12 @@ def footer(text):
     return f"<footer>{text}</footer>"
 
 
-TITLE = "<title>Synthetic Supplier</title>"
+TITLE = "<title>Blue Lantern</title>"
 SITE = '<meta property="og:site_name" content="{}">'.format
 CASES = [
     ({ROOT + "product": ORG + ld({"@type": "Article"}), ROOT: ORG + OFFER}, ROOT + "product", "confirmed", None),
     ({ROOT + "news/product": ORG + ld({"@type": "Article"}), ROOT: ORG + OFFER}, ROOT + "news/product", "confirmed", None),
-    ({ROOT: ORG + footer("© 2026 Synthetic Supplier. All Rights<br>Reserved") + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: ORG + footer("© 2026 Blue Lantern. All Rights<br>Reserved") + OFFER}, ROOT, "confirmed", None),
     ({}, "https://eurekalert.org/paper", "skipped", "non_institutional_source"),
     ({}, "https://www.linkedin.com/company/x", "skipped", "non_institutional_source"),
     ({}, "https://eurekalert.org.example.org/", "pending", "not_available_in_fixture"),
@@ -53,13 +53,13 @@ CASES = [
     ({ROOT: ORG}, ROOT, "pending", "provider_offer_unverified"),
     ({ROOT: ld(org(), {"@type": "NewsMediaOrganization"}) + OFFER}, ROOT, "skipped", "non_institutional_source"),
     ({ROOT: ld(org("Synthetic Web Agency LLC"), org(kind="WebSite")) + OFFER}, ROOT, "pending", "conflicting_company_identity"),
-    ({ROOT: ld(org("Synthetic Holdings Ltd", alternateName="Synthetic Supplier"), org(kind="WebSite")) + OFFER}, ROOT, "confirmed", None),
-    ({ROOT: ld(org("Synthetic Supplier S.L."), org("syntheticsupplier.com", "WebSite")) + OFFER}, ROOT, "confirmed", None),
-    ({ROOT: TITLE + footer("© Synthetic Supplier Pte Ltd") + OFFER}, ROOT, "confirmed", None),
-    ({ROOT: TITLE + "<p>At Synthetic Supplier, we build.</p>" + OFFER}, ROOT, "confirmed", None),
-    ({ROOT: '<img alt="Synthetic Supplier logo">' + footer("© Synthetic Supplier Pte Ltd") + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: ld(org("Synthetic Holdings Ltd", alternateName="Blue Lantern"), org(kind="WebSite")) + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: ld(org("Blue Lantern S.L."), org("bluelantern.com", "WebSite")) + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: TITLE + footer("© Blue Lantern Pte Ltd") + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: TITLE + "<p>At Blue Lantern, we build.</p>" + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: '<img alt="Blue Lantern logo">' + footer("© Blue Lantern Pte Ltd") + OFFER}, ROOT, "confirmed", None),
     ({ROOT: TITLE + OFFER}, ROOT, "pending", "missing_or_ambiguous_company_identity"),
-    ({ROOT: TITLE + footer("Website by Synthetic Supplier") + OFFER}, ROOT, "pending", None),
+    ({ROOT: TITLE + footer("Website by Blue Lantern") + OFFER}, ROOT, "pending", None),
     ({ROOT: TITLE + '<img alt="Other logo">' + OFFER}, ROOT, "pending", None),
     ({ROOT: TITLE + '<a href="/about">About</a>' + OFFER, ROOT + "about": ORG}, ROOT, "confirmed", None),
     ({ROOT: TITLE + '<a href="https://other.example/about">About</a>' + OFFER}, ROOT, "pending", None),
@@ -73,8 +73,8 @@ CASES = [
     ({}, ROOT + "?error=cookies_not_supported", "pending", "site_error_page"),
     ({ROOT: ORG + OFFER + footer("© 2026 Different Owner GmbH")}, ROOT, "pending", "conflicting_company_identity"),
     ({ROOT: ORG + OFFER + footer("© 3Synthetic AG")}, ROOT, "pending", "conflicting_company_identity"),
-    ({ROOT: ld(org("Synthetic Supplier - Advanced Cell Interfaces", "WebSite"), org()) + OFFER}, ROOT, "confirmed", None),
-    ({ROOT: ld(org("Synthetic Supplier - Different Owner"), org(kind="WebSite")) + OFFER}, ROOT, "pending", "conflicting_company_identity"),
+    ({ROOT: ld(org("Blue Lantern - Advanced Cell Interfaces", "WebSite"), org()) + OFFER}, ROOT, "confirmed", None),
+    ({ROOT: ld(org("Blue Lantern - Different Owner"), org(kind="WebSite")) + OFFER}, ROOT, "pending", "conflicting_company_identity"),
     ({ROOT: ld(org("A &amp; B"), org("A & B", "WebSite")) + OFFER}, ROOT, "confirmed", None),
     ({ROOT: ORG + footer("our service")}, ROOT, "pending", "provider_offer_unverified"),
     ({ROOT: ORG + "<blockquote>our service</blockquote>"}, ROOT, "pending", "provider_offer_unverified"),
@@ -86,7 +86,7 @@ CASES = [
     ({ROOT: (200, ORG, "https://www.linkedin.com/x")}, ROOT, "skipped", "non_institutional_source"),
     ({ROOT: (203, "")}, ROOT, "pending", "site_http_203"),
     ({}, "https://example.org:8000", "pending", "invalid_url"),
-    ({}, "https://u:p@example.org", "pending", "invalid_url"),
+    ({}, "https://me:pw@firm.example", "pending", "invalid_url"),
     ({}, "file:///etc/passwd", "pending", "invalid_url"),
 ]
 
@@ -99,10 +99,10 @@ def test_decision_table(case):
     assert (got.name == "" or status == "confirmed") and json.loads(got.evidence)["policy_version"] == 3
 
 
-@pytest.mark.parametrize("form", ["AG", "ApS", "GmbH", "AS", "AB", "Pty Ltd", "PLC", "SRL"])
+@pytest.mark.parametrize("form", "ApS;AS;AG;AB;PLC;SRL;GmbH;Pty Ltd".split(";"))
 def test_legal_forms_in_owner_notice(form):
-    got = run({ROOT: TITLE + footer(f"© 2026 Synthetic Supplier {form}") + OFFER})
-    assert (got.status, got.name) == ("confirmed", "Synthetic Supplier")
+    got = run({ROOT: TITLE + footer(f"© 2026 Blue Lantern {form}") + OFFER})
+    assert got.name == "Blue Lantern" and got.status == "confirmed"
 
 
 @pytest.mark.parametrize("text", ["Copyright policy applies", "© is a sign", "Copyright notice", "Terms of use", "© 2026"])
@@ -111,13 +111,13 @@ def test_notices_that_name_no_owner(text):
 
 
 def test_at_most_five_pages_are_inspected():
-    links = "".join(f'<a href="/{i}x">home</a>' for i in range(10))
+    links = " ".join(f"<a class=h href='/{i}x'>home</a>" for i in range(10))
     got = run({ROOT + "start": links} | {f"{ROOT}{i}x": "<p>x</p>" for i in range(10)}, ROOT + "start")
     assert got.status == "pending" and len(json.loads(got.evidence)["inspected"]) == 5
 
 
 def test_offer_and_support_pages_are_recorded():
-    got = run({ROOT: TITLE + '<a href="/about">About us</a>' + OFFER, ROOT + "about": ORG})
+    got = run({ROOT: TITLE + '<a class="k" href="/about">About us</a> ' + OFFER} | {ROOT + "about": ORG})
     notes = json.loads(got.evidence)
     assert notes["identity_support_url"] == ROOT + "about" and notes["offer_evidence"] == "Services"
 
@@ -128,7 +128,7 @@ def test_spark_resolution_agrees(spark):
 
     corpus, results, expected = [], [], {}
     for i, (pages, source, status, _) in enumerate(CASES):
-        move = lambda text, i=i: text.replace("supplier.example.org", f"s{i}.supplier.example.org")
+        move = lambda text, i=i: text.replace("firm.example.org", f"s{i}.firm.example.org")
         for url, page in pages.items():
             code, html, final = page if isinstance(page, tuple) and len(page) > 2 else (*page, url) if isinstance(page, tuple) else (200, page, url)
             corpus.append((move(url), move(final), code, "text/html; charset=utf-8", move(html)))

@@ -16,15 +16,15 @@ from entityflow.sources import payloads, query_list
 from entityflow.state import SCHEMAS, State, StateError
 
 URLS = {
-    "HTTPS://ACME.example.org/pt/brand/?tenant=2&utm_source=x#test": "https://acme.example.org/pt/brand/?tenant=2",
+    "HTTPS://FIRM.example.net/de/shop/?lang=2&utm_medium=x#end": "https://firm.example.net/de/shop/?lang=2",
     "file:///etc/passwd": "invalid_url",
-    "https://u:p@example.org": "invalid_url",
+    "https://me:pw@firm.example": "invalid_url",
     "javascript:alert(1)": "invalid_url",
     "https://example.org:8000": "invalid_url",
-    "https://example.org/saúde/atenção": "https://example.org/sa%C3%BAde/aten%C3%A7%C3%A3o",
+    "https://firm.example/übung/straße": "https://firm.example/%C3%BCbung/stra%C3%9Fe",
     "https://example.org/quem somos": "https://example.org/quem%20somos",
-    "https://example.org/a%2Fb/%C3%A7": "https://example.org/a%2Fb/%C3%A7",
-    "https://example.org/a:b;c,@x!$&'()*+=": "https://example.org/a:b;c,@x!$&'()*+=",
+    "https://firm.example/x%2Fy/%C3%A9": "https://firm.example/x%2Fy/%C3%A9",
+    "https://firm.example/k:=+*)('&$!@,;z": "https://firm.example/k:=+*)('&$!@,;z",
     "http://example.org:443/?a&b=1+2&c=%20x": "http://example.org:443/?a=&b=1+2&c=+x",
     "https://[2001:db8::1]:443": "https://[2001:db8::1]/",
     "http://Example.org.:80": "http://example.org/",
@@ -39,7 +39,7 @@ def test_normalize_url(spark):
 
 
 def test_site_keys_agree(spark):
-    same = ["http://www.acme.example/", "https://acme.example/?tenant=1#top", "https://acme.example", "https://acme.example////", "https://acme.example/;session=2", "https://acme.example/"]
+    same = [f"https://{x}" for x in "firm.example firm.example/ firm.example/// firm.example/;s=2 firm.example/?a=1#z".split()] + ["http://www.firm.example"]
     rows = spark.createDataFrame([(u,) for u in same], "u string").select(U.site_key(F.col("u")).alias("k")).distinct().collect()
     assert len(rows) == 1
     row = spark.createDataFrame([("https://a.example/x%c3%a7//y/",)], "u string").select(U.site_key(F.col("u")).alias("k")).first()
@@ -63,11 +63,11 @@ def test_query_list(spark, tmp_path):
 
 
 def current(term="q", page=1, urls=("https://a.example/",), more=False, **extra):
-    return json.dumps({"provider": "apify-google", "organicResults": [{"title": "t", "url": u, "description": ""} for u in urls], "has_next": more, "end_status": "complete", "end_reason": "", "searchQuery": {"term": term, "page": page}} | extra)
+    return json.dumps({"organicResults": [dict(description="", title="t", url=u) for u in urls], "has_next": more, "end_status": "complete", "end_reason": ""} | {"provider": "apify-google", "searchQuery": dict(page=page, term=term)} | extra)
 
 
 def test_payloads(spark):
-    legacy = json.dumps({"search_metadata": {"status": "Success"}, "organic_results": [{"title": "t", "link": "https://b.example/"}], "serpapi_pagination": {"next": "https://s.example/?q=x&start=17"}})
+    legacy = json.dumps(dict(serpapi_pagination=dict(next="https://s.example/?q=x&start=17"), organic_results=[dict(link="https://b.example/", title="t")], search_metadata=dict(status="Success")))
     rows = [("a", 0, current(more=True)), ("b", 0, legacy), ("c", 0, current(has_next="true")), ("d", 0, current(search_error=True)), ("e", 0, "{"), ("f", 0, json.dumps({"search_metadata": {"status": "Error"}})), ("g", 0, current(urls=(), search_error=True, more=True)), ("h", 0, current(urls=("",)))]
     got = {r["query"]: r for r in payloads.parsed(spark.createDataFrame(rows, SCHEMAS["pages"])).collect()}
     assert {k: r["problem"] for k, r in got.items()} == {"a": None, "b": None, "c": "has_next", "d": "search_error", "e": "not_json", "f": "search_status", "g": None, "h": "organic_result"}
@@ -75,7 +75,7 @@ def test_payloads(spark):
 
 
 def test_record_problems(spark):
-    rows = [(0, current()), (1, current()), (2, current(page=2)), (3, json.dumps({"searchQuery": {"term": "q", "page": True}, "organicResults": []})), (4, current(term="z")), (5, current(page=9)), (6, json.dumps({"searchQuery": {"term": "q", "page": 3}, "organicResults": [{"title": "x"}]}))]
+    rows = [(0, current()), (1, current()), (2, current(page=2)), (3, json.dumps(dict(organicResults=[], searchQuery=dict(page=True, term="q")))), (4, current(term="z")), (5, current(page=9)), (6, json.dumps(dict(organicResults=[dict(title="x")], searchQuery=dict(page=3, term="q"))))]
     got = payloads.record_problems(spark.createDataFrame(rows, "record int, payload string"), spark.createDataFrame([("q",)], "query string"), 5).collect()
     assert {r["record"]: r["problem"] for r in got} == {0: None, 1: "duplicate", 2: None, 3: "unexpected", 4: "unexpected", 5: "unexpected", 6: "organic_result"}
 
@@ -151,14 +151,14 @@ def test_selection(spark):
     same = decisions(spark, *[(q, f"https://x.example/{i}", "confirmed", "Acme", "https://acme.example/", "") for i, q in enumerate("aab")], ("c", "u", "pending", "", "", "site_http_403"), ("d", "u", "skipped", "", "", ""))
     chosen = selection.sites(same)
     assert chosen.select("site_name").distinct().count() == 1
-    assert [s["query"] for s in selection.provenance(chosen).first()["sources"]] == ["a", "a", "b"]
+    assert [s["query"] for s in selection.provenance(chosen).first()["sources"]] == list("aab")
     assert tuple(selection.counts(same, 1).first()) == (1, 3, 2, 1, 1)
     many = decisions(spark, ("a", "1", "confirmed", "Acme", "https://acme.example/", ""), ("a", "2", "confirmed", "Acme", "https://acme.example/br", ""), ("a", "3", "confirmed", "Brand", "https://acme.example/br", ""), ("a", "4", "confirmed", "Sub", "https://sub.acme.example/", ""), ("a", "5", "confirmed", "Acme Two", "https://www.acme.example", ""))
     got = {(r["name"], r["url"]): r["site_name"] for r in selection.sites(many).collect()}
     assert got[("Acme", "https://acme.example/br")] == "Acme" and got[("Brand", "https://acme.example/br")] == "Brand" and got[("Acme Two", "https://www.acme.example")] == "Acme"
 
 
-@pytest.mark.parametrize("names", [("A B", "A-B"), ("Acme", "ACME"), ("!!!", "x")])
+@pytest.mark.parametrize("names", [("One Two", "One-Two"), ("Firm", "FIRM"), ("!!!", "x")])
 def test_collisions_are_refused_before_anything_is_written(spark, tmp_path, names):
     rows = decisions(spark, *[("a", str(i), "confirmed", n, f"https://h{i}.example/", "") for i, n in enumerate(names)])
     with pytest.raises(OutputError):
@@ -186,7 +186,7 @@ def test_run_resume_export_audit_recheck(spark, tmp_path):
         state.create(config | {"country": "us"})
     payload = current(urls=("https://s.example/", "https://arxiv.org/abs/1", "https://gone.example/"))
     state.upsert(pages=spark.createDataFrame([("q", 0, payload)], SCHEMAS["pages"]))
-    html = '<script type="application/ld+json">{"@type":"Organization","name":"S","url":"https://s.example/"}</script><a href="/services">Services</a>'
+    html = "<script type='application/ld+json'>" + json.dumps(dict(url="https://s.example/", name="S") | {"@type": "Organization"}) + "</script><a class=x href='/services'>Services</a>"
     corpus = spark.createDataFrame([("https://s.example/", "https://s.example/", 200, "text/html", html)], "url string, final_url string, status int, content_type string, html string")
     made = {r["discovered_url"]: r["status"] for r in runs.discover(state, corpus).collect()}
     assert made == {"https://s.example/": "confirmed", "https://arxiv.org/abs/1": "skipped", "https://gone.example/": "pending"}
