@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from entityflow.shipping import map_arrow
 
 from . import words as W
+from .store import small_side
 
 #: Most bytes of test text in a block, the bound of what is sent to every task.
 BLOCK_BYTES = 8 << 20
@@ -293,4 +294,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", te
     """docs, all columns, without the documents that have a hit. Rows of a null id are kept or removed
     together with the others of null id: where such rows matter give another id column."""
     bad = find_matches(docs, benchmark, id, text, **how).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(small_side(bad), F.col(id).eqNullSafe(F.col("_bad")), "left_anti")

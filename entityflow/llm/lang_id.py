@@ -22,12 +22,14 @@ from entityflow.shipping import map_arrow
 
 from . import words as W
 from .sample import labelled_sample
-from .store import checkpointed
+from .store import checkpointed, small_side
 
 #: Most labelled rows, and bytes of their text, that the trigram counts are fitted on.
-MOST_TRAINING = 4000
-MOST_TRAINING_BYTES = 16 << 20
+MOST_TRAINING = 2000
+MOST_TRAINING_BYTES = 8 << 20
 BUCKETS = 1 << 15
+#: Most hosts whose counts are broadcast (some 200 bytes each); more are shuffled.
+MOST_HOSTS = 100_000
 UNDETERMINED = "und"
 #: Text counts as this many independent trigrams at most: neighbours are far from independent.
 MOST_EVIDENCE = 120.0
@@ -46,17 +48,18 @@ class Model(NamedTuple):
     logs: np.ndarray
 
 
-def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each byte trigram with a letter in its middle; other bytes are spaces."""
+def trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and bucket of each byte trigram with a letter in its middle (other bytes are spaces), in
+    windows of W.WINDOW bytes: what is held does not grow with the column or with a long text."""
     data, offsets = W.buffers(column)
-    if len(data) < 3:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    x = _FOLD[data]
-    code = x[:-2] * np.uint64(65536) + x[1:-1] * np.uint64(256) + x[2:]
-    middle = np.flatnonzero(x[1:-1] != 0x20)
-    row = np.searchsorted(offsets, middle, side="right") - 1
-    inside = middle + 3 <= offsets[row + 1]
-    return row[inside], (W.mix(code[middle[inside]]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    for at in range(0, len(data) - 2, W.WINDOW):
+        x = _FOLD[data[at : at + W.WINDOW + 2]]
+        middle = np.flatnonzero(x[1:-1] != 0x20)
+        row = np.searchsorted(offsets, middle + at, side="right") - 1
+        inside = middle + at + 3 <= offsets[row + 1]
+        middle, row = middle[inside], row[inside]
+        code = x[middle] * np.uint64(65536) + x[middle + 1] * np.uint64(256) + x[middle + 2]
+        yield row, (W.mix(code) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def fit(texts: list[str], languages: list[str], least: int = 5) -> Model:
@@ -64,8 +67,9 @@ def fit(texts: list[str], languages: list[str], least: int = 5) -> Model:
     names = sorted(x for x in set(languages) if languages.count(x) >= least)
     logs = np.full((BUCKETS, len(names) + 1), -np.log(BUCKETS))
     for k, name in enumerate(names):
-        _, bucket = trigrams(pa.array([t for t, y in zip(texts, languages, strict=True) if y == name], pa.string()))
-        counts = np.bincount(bucket, minlength=BUCKETS) + SMOOTH
+        counts = np.full(BUCKETS, SMOOTH)
+        for _, bucket in trigrams(pa.array([t for t, y in zip(texts, languages, strict=True) if y == name], pa.string())):
+            counts += np.bincount(bucket, minlength=BUCKETS)
         logs[:, k] = np.log(counts / counts.sum())
     return Model([*names, UNDETERMINED], logs)
 
@@ -84,11 +88,13 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", language: str
 
 def log_likelihoods(model: Model, column: pa.Array) -> np.ndarray:
     """Per row and language, weakened to MOST_EVIDENCE trigrams; 0 without letters."""
-    row, bucket = trigrams(column)
-    n = len(column)
-    count = np.bincount(row, minlength=n)
-    weight = np.minimum(1.0, MOST_EVIDENCE / np.maximum(count, 1))
-    return np.stack([np.bincount(row, model.logs[bucket, k], n) * weight for k in range(len(model.languages))], axis=1)
+    n, k = len(column), len(model.languages)
+    count, total = np.zeros(n), np.zeros((n, k))
+    for row, bucket in trigrams(column):
+        count += np.bincount(row, minlength=n)
+        for i in range(k):
+            total[:, i] += np.bincount(row, model.logs[bucket, i], n)
+    return total * np.minimum(1.0, MOST_EVIDENCE / np.maximum(count, 1))[:, None]
 
 
 def _scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
@@ -133,15 +139,17 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column, host
         scored = checkpointed(scored)
     guess = F.array_position(F.col("_logs"), F.array_max(F.col("_logs")))
     scored = scored.withColumn("_guess", F.coalesce(guess.cast("int"), F.lit(0)))
-    one = [F.sum((F.col("_guess") == k + 1).cast("long")).alias(f"c{k}") for k in range(n)]
+    cells = checkpointed(scored.groupBy("_host", "_declared", "_guess").count())  # all that is counted, in one pass
+    one = [F.sum(F.when(F.col("_guess") == k + 1, F.col("count")).otherwise(0)).alias(f"c{k}") for k in range(n)]
     more = [F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]
     array = lambda prefix="c": F.array(*(F.col(f"{prefix}{k}") for k in range(n)))
-    by_host = scored.groupBy("_host").agg(*one)
+    by_host = cells.groupBy("_host").agg(*one)
     by_suffix = by_host.groupBy(suffix_of(F.col("_host")).alias("_suffix")).agg(*more)
     root = by_suffix.agg(*more).first()
     base = np.array([float(root[k] or 0) for k in range(n)]) + 1
     base /= base.sum()
-    tags = {(r["_declared"], r["_guess"]): r["count"] for r in scored.filter(F.col("_declared").isin(names) & (F.col("_guess") > 0)).groupBy("_declared", "_guess").count().collect()}
+    said_so = cells.filter(F.col("_declared").isin(names) & (F.col("_guess") > 0)).groupBy("_declared", "_guess").agg(F.sum("count").alias("n"))
+    tags = {(r["_declared"], r["_guess"]): r["n"] for r in said_so.collect()}  # languages squared
     said = {}
     for d in names:  # chance of each declaration given the language, as the text alone tells it
         for k in range(n):
@@ -150,7 +158,7 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column, host
     host_counts = by_host.select("_host", array().alias("_hc"))
     suffix_counts = by_suffix.select("_suffix", array().alias("_sc"))
     counts = host_counts.withColumn("_suffix", suffix_of(F.col("_host"))).join(suffix_counts, "_suffix").select("_host", "_hc", "_sc")
-    joined = scored.join(counts, "_host")
+    joined = scored.join(small_side(counts, MOST_HOSTS), "_host")
     own = lambda k: F.when(F.col("_guess") == k + 1, 1.0).otherwise(0.0)
     mine = F.when(F.col("_guess") > 0, 1.0).otherwise(0.0)
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import Likeness, near_classes
+from .store import small_side
 
 #: 24 bands of 5 of 120 minima: a pair at 0.8 is missed with probability 7e-5, at 0.85 with 8e-7.
 DOCUMENTS = Likeness(shingle=5, part=80, whole=100, bands=24, rows=5)
@@ -28,4 +29,4 @@ def near_duplicates(docs: DataFrame, how: Likeness = DOCUMENTS, id: str = "doc_i
 def deduplicated(docs: DataFrame, how: Likeness = DOCUMENTS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, without the near-copies: of each component the document of the least id."""
     gone = near_duplicates(docs, how, id, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
+    return docs.join(small_side(gone), F.col(id) == F.col("_gone"), "left_anti")

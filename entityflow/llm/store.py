@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most bits of a membership filter: 64 MB. Beyond its capacity it lets more through, never less.
 FILTER_BITS = 1 << 29
+#: Most rows of a broadcast side: some tens of bytes each.
+SMALL_ROWS = 500_000
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
@@ -23,6 +25,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def small_side(frame: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The frame, written, as the side of a join: to be broadcast if it has at most `most` rows (they
+    must be short), to be shuffled beyond that. The other side then stays where it is, with its texts."""
+    written = checkpointed(frame)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def ranked(frame: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """The frame with a global row number (from 0) in the given order, without a single sorting task:
     ranges are sorted apart, written, counted, and offset by the rows of the ranges before. What comes
