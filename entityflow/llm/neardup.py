@@ -6,9 +6,9 @@
    these keys (bounded size) selects the nodes that have any partner; only those move with text.
 3. Each node is paired with the least node of each of its keys (a star, linear in the bucket), pairs
    are tested on signatures, then on full sets, and linked nodes make components.
-4. Buckets that still hold several components give all pairs across components, tested likewise, so
-   that no link is lost where the centre of a star is not similar. Pairs inside a component are not
-   tested again: they cannot change it.
+4. Where a bucket still holds several components, its nodes are joined across components by an exact
+   set-similarity join (prefix, length and positional filters), so that no link is lost where the centre
+   of a star is not similar. Pairs inside a component are not tested again: they cannot change it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ from .sketch import MinHash, fingerprint
 from .store import checkpointed, maybe_in, membership
 
 
+#: Slots of the shingle counts that order prefixes: 4 MB sent to every task.
+SLOTS = 1 << 20
+
+
 class Likeness(NamedTuple):
     """shingle: words in a shingle; part, whole: texts are linked if whole * |intersection| >= part *
     |union|; bands, rows: of the MinHash; alnum: words are runs of letters and digits (else of
@@ -135,6 +139,61 @@ def _verified(pairs: DataFrame, nodes: DataFrame, how: Likeness) -> DataFrame:
     return map_arrow(likely.join(left, "src").join(right, "dst").select("src", "dst", "text", "text2"), same, "src long, dst long")
 
 
+def _prefixes(nodes: DataFrame, how: Likeness) -> DataFrame:
+    """nodes (node, label, text) -> node, label, size, token, place: the rarest shingles of each set,
+    as many as could be the first that it shares with a similar set, in the order of how many of these
+    sets hold a shingle. Counts are kept in SLOTS slots by hash (bounded); slots that coincide only make
+    the order less telling: any order that is the same for all sets is exact."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                _, value = W.shingles(how.words(batch.column("text")), how.shingle)
+                total += np.bincount((value & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
+
+    got = map_arrow(nodes.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(SLOTS, dtype=np.int64)
+    frequency[got["slot"].to_numpy()] = got["n"].to_numpy()
+    sent = nodes.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                row, value = W.shingles(how.words(batch.column("text")), how.shingle)
+                often = sent.value[(value & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((value, often, row))
+                row, value = row[order], value[order]
+                size = np.bincount(row, minlength=batch.num_rows)
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                # overlap with any similar set is at least part / whole of this set
+                keep = place <= size[row] - -(-size[row] * how.part // how.whole)
+                at = pa.array(row[keep])
+                arrays = [batch.column("node").take(at), batch.column("label").take(at), pa.array(size[row[keep]], pa.int64()), pa.array(value[keep].view(np.int64)), pa.array(place[keep], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "label", "size", "token", "place"])
+
+    return map_arrow(nodes, run, "node long, label long, size long, token long, place long")
+
+
+def _across(nodes: DataFrame, how: Likeness) -> DataFrame:
+    """Pairs (src, dst) of nodes (node, label, text) of different labels that may be similar: an exact
+    set-similarity join with prefix, length and positional filters, so that sets which differ in enough
+    rare shingles never meet, however many share the rest. Labels meet first: a token whose sets all
+    have one label gives nothing."""
+    part, total = how.part, how.part + how.whole
+    found = checkpointed(_prefixes(nodes, how))
+    # the smaller set of a pair shares 2 part / (part + whole) of itself, so its prefix is shorter
+    lesser = found.filter(f"(size - place) * {total} >= 2 * {part} * size")
+    labels = lesser.select("token", "label").distinct().join(found.select("token", F.col("label").alias("label2")).distinct(), "token").filter("label <> label2")
+    left = labels.join(lesser, ["token", "label"]).select("token", "label2", F.col("node").alias("src"), F.col("size").alias("n"), F.col("place").alias("p"))
+    right = found.select("token", F.col("label").alias("label2"), F.col("node").alias("dst"), F.col("size").alias("n2"), F.col("place").alias("p2"))
+    need = f"{part} * (n + n2)"
+    near = left.join(right, ["token", "label2"]).filter(f"(n < n2 or (n = n2 and src < dst)) and n * {how.whole} >= n2 * {part} and (n - p) * {total} >= {need} and (n2 - p2) * {total} >= {need}")
+    return near.select("src", "dst").distinct()
+
+
 def near_classes(texts: DataFrame, how: Likeness) -> DataFrame:
     """texts (id of any orderable type, text) -> id, n_words, n_shingles, class (the least id that can
     be reached over links, the id itself included; null where the text has no words).
@@ -153,12 +212,9 @@ def near_classes(texts: DataFrame, how: Likeness) -> DataFrame:
     found = checkpointed(components(links))
     labelled = placed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"), "centre")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
-    still = checkpointed(labelled.join(open_keys, "key"))
-    mine, theirs = still.toDF("key", "src", "label", "centre"), still.select("key", F.col("node").alias("dst"), F.col("label").alias("label2"))
-    across = mine.join(theirs, "key").filter("label < label2 and src <> centre and dst <> centre").select("src", "dst").distinct()
-    more = _verified(across, nodes, how)
-    label = still.select("node", "label").distinct()
-    bridges = more.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    still = checkpointed(labelled.join(open_keys, "key").select("node", "label").distinct())
+    more = _verified(_across(nodes.join(still, "node").select("node", "label", "text"), how), nodes, how)
+    bridges = more.join(still.toDF("src", "a"), "src").join(still.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     joined = components(bridges).toDF("component", "top")
     final = checkpointed(found.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("label")).unionByName(joined.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("label"))))
     sets = rows.filter("one is not null").groupBy("one", "two").agg(F.min("id").alias("least"))
