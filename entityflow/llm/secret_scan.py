@@ -30,7 +30,7 @@ ENCODINGS = (
 )
 #: Lengths from which a stratum of the false-discovery control begins, and its rate.
 STRATA = (20, 32, 64)
-FALSE_DISCOVERIES = 0.01
+FALSE_DISCOVERIES = 0.001
 _BINS, _TOP = 20, 30  # bins per power of ten of the p-value, powers of ten
 _SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
 
@@ -72,8 +72,9 @@ def p_ordinary(token: Column) -> Column:
     Three tests, each of a statistic that is known for ordinary text and for uniform symbols:
     chi-squared of the symbol counts (ordinary text is far from uniform), runs of character classes
     (random symbols change class far more often) and the serial correlation of neighbouring symbols
-    (in ordinary text upper, lower and digits keep together). Their p-values are put together by
-    Fisher's method. Longer tokens separate the two better, so short or one-class tokens stay in doubt.
+    (in ordinary text upper, lower and digits keep together). The p-values of the two tests of order are
+    put together by Fisher's method; a token must look random in its counts and in its order, so the
+    larger of the two counts (camel case, say, is in order only). Longer tokens separate the two better, so short or one-class tokens stay in doubt.
     """
     body = F.regexp_replace(token, "=+$", "")
     kind = F.lit(None).cast("struct<symbols:string,collision:double,change:double,chance:double>")
@@ -83,7 +84,7 @@ def p_ordinary(token: Column) -> Column:
 
     def counted(x: Column) -> Column:
         symbols = F.split(x["body"], "")
-        squares = F.aggregate(F.regexp_extract_all(F.array_join(F.array_sort(symbols), ""), F.lit(r"(.)\1*"), F.lit(0)), F.lit(0.0), lambda s, r: s + F.length(r) * F.length(r))
+        squares = F.aggregate(F.regexp_extract_all(F.array_join(F.array_sort(symbols), ""), F.lit(r"(.)\1*"), F.lit(0)), F.lit(0.0), lambda s, r: s + F.length(r).cast("double") * F.length(r))
         classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x["body"], "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "p")
         return F.struct(
             F.length(x["body"]).cast("double").alias("n"), F.length(x["kind"]["symbols"]).cast("double").alias("k"), squares.alias("squares"), (F.length(F.regexp_replace(classes, r"(.)\1*", "x")).cast("double") - 1).alias("changes"),
@@ -105,8 +106,8 @@ def p_ordinary(token: Column) -> Column:
         uniform = _upper_tail((df + x["n"] * x["excess"] - (x["k"] / x["n"] * x["squares"] - x["n"])) / F.sqrt(2 * df + 4 * x["n"] * x["excess"]))
         runs = _upper_tail((x["changes"] - (x["n"] - 1) * c) / F.sqrt((x["n"] - 1) * c * (1 - c) + 1e-9))
         serial = _upper_tail((0.5493 - correlated(x)) * F.sqrt(x["n"] - 3))
-        fisher = _let(-(F.log(uniform) + F.log(runs) + F.log(serial)), lambda h: F.exp(-h) * (1 + h + h * h / 2))
-        return F.when(x["mixed"], fisher).otherwise(uniform)  # the upper tail of chi-squared with 6 degrees, or with 2
+        order = _let(-(F.log(runs) + F.log(serial)), lambda h: F.exp(-h) * (1 + h))  # chi-squared, 4 degrees
+        return F.when(x["mixed"], F.greatest(uniform, order)).otherwise(uniform)
 
     return _let(F.struct(body.alias("body"), kind.alias("kind")), lambda x: _let(counted(x), tests))
 
