@@ -23,7 +23,9 @@ TEMPLATES = (
     ("bsd", "released under the bsd license"),
     ("cc-by", "this work is licensed under a creative commons attribution international license"),
     ("cc-by", "licensed under cc by 4.0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution share alike license"),
+    ("cc-by-sa", "creative commons attribution sharealike"),
+    ("cc-by-sa", "cc by sa"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
@@ -33,7 +35,7 @@ TEMPLATES = (
     ("reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form without the prior written permission of the publisher"),
 )
 #: Share of a template's distinct words that a block must hold.
-CONTAINMENT = 0.8
+CONTAINMENT = 0.85
 
 
 class Scanner(NamedTuple):
