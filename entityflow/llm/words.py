@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 WINDOW = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
