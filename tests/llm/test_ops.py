@@ -293,7 +293,7 @@ def test_toxicity(spark, docs, empty):
 def test_language_id(spark, empty):
     vocabulary = {"en": "the and of to in house water stone think", "de": "der die und nicht haus wasser stein für über", "fr": "le la et des maison eau pierre été où"}
     data = [(i, " ".join(RANDOM.choices(vocabulary[lang].split(), k=40)), lang, f"host.{lang}", 0) for i, lang in enumerate(sorted(vocabulary) * 30)]
-    data += [(1000, "12 34 %% --", None, None, 0), (1001, None, "de", "host.de", 0), (1002, "", None, "host.fr", 0), (1003, " ".join(RANDOM.choices(vocabulary["fr"].split(), k=40)), "en", "host.en", 0), (1004, "zqxj wvkq xzqj " * 20, "", "elsewhere", 0), (1005, "der", None, None, 0)]
+    data += [(1000, "12 34 %% --", None, None, 0), (1001, None, "de", "host.de", 0), (1002, "", None, "host.fr", 0), (1003, " ".join(RANDOM.choices(vocabulary["fr"].split(), k=40)), "en", "host.en", 0), (1004, " ".join("".join(RANDOM.choices("zqxjwvky", k=5)) for _ in range(60)), "", "elsewhere", 0), (1005, "der", None, None, 0)]
     frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, _language int")
     model = lang_id.train(frame)
     got = {r["doc_id"]: r for r in lang_id.identify(frame, model, F.col("text"), F.col("lang"), F.col("source")).collect()}
