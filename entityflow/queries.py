@@ -228,7 +228,7 @@ _EV = "SELECT user_id AS q, date_trunc('day', ts) AS day, event_type || ((event_
 
 
 def _event_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "events").filter("event_id < 3000").select(F.col("user_id").alias("query"), F.date_trunc("day", "ts").alias("day"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("url"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("query"), F.date_trunc("day", "ts").alias("day"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("url"))
     results = e.withColumn("idx", F.dense_rank().over(frontier.Window.partitionBy("query").orderBy("day")))
     last = F.max("idx").over(frontier.Window.partitionBy("query"))
     pages = results.select("query", "idx").distinct().withColumn("has_next", F.col("idx") < last)
