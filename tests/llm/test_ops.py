@@ -262,6 +262,24 @@ def test_secrets(spark, docs, empty):
     assert "Python" not in secret_scan.redacted(frame)._jdf.queryExecution().toString()
 
 
+PLAIN = """wp-content/uploads/2021/05/IMG_20210512_123456-1024x768 getElementsByTagNameAndClassNameWithFallback MAX_NUMBER_OF_RETRIES_BEFORE_FAILURE
+how-to-bake-the-best-sourdough-bread-in-2024 Donaudampfschifffahrtsgesellschaftskapitaen 20240115123000000000000 org/apache/spark/sql/catalyst/expressions
+XMLHttpRequestEventTargetPrototype -------------------------------- ________________________ aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa 1234567890123456789012345678901234567890
+user_1234_item_5678_version_2_final_draft THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG internationalization-of-web-pages/index_de linux-image-5-15-0-91-generic-amd64
+anticonstitutionnellement/des-eaux-de-la-mer ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 00000000000000000000000000000001 invoice-2023-11-30-customer-000482-copy""".split()
+
+
+@pytest.mark.parametrize(("alphabet", "size"), [("0123456789ABCDEF", 32), ("0123456789ABCDEF", 64), ("0123456789abcdefghijklmnopqrstuvwxyz", 32), ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 32)])
+def test_planted_tokens_of_every_encoding(spark, alphabet, size):
+    """Random tokens are found where ordinary long tokens outnumber them, and no ordinary one is."""
+    random_ = random.Random(size + len(alphabet))
+    keys = ["".join(random_.choice(alphabet) for _ in range(size)) for _ in range(30)]
+    frame = spark.createDataFrame(list(enumerate([f"see {x} there" for x in keys + PLAIN * 15])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.with_spans(frame).collect()}
+    assert sum([tuple(x) for x in got[i]["secrets_random"]] == [(4, 3, 4 + size)] for i in range(30)) >= 0.8 * 30
+    assert [PLAIN[i % len(PLAIN)] for i in range(len(PLAIN) * 15) if got[30 + i]["secrets_random"]] == []
+
+
 def test_toxicity(spark, docs, empty):
     nasty, nice = ["idiot", "scum", "trash"], [f"word{i}" for i in range(60)]
     data, labels = [], []
