@@ -21,12 +21,14 @@ from pyspark.sql import types as T
 from entityflow.shipping import map_arrow
 
 from . import words as W
-from .sample import labelled_sample
+from .sample import stratified_sample
 from .store import checkpointed, small_side
 
 #: Most labelled rows, and bytes of their text, that the trigram counts are fitted on.
 MOST_TRAINING = 2000
 MOST_TRAINING_BYTES = 8 << 20
+#: Texts that a language must have, in the whole corpus, to be learned.
+LEAST_TEXTS = 5
 BUCKETS = 1 << 15
 #: Most hosts whose counts are broadcast (some 200 bytes each); more are shuffled.
 MOST_HOSTS = 100_000
@@ -62,7 +64,7 @@ def trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield row, (W.mix(code) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def fit(texts: list[str], languages: list[str], least: int = 5) -> Model:
+def fit(texts: list[str], languages: list[str], least: int = LEAST_TEXTS) -> Model:
     """Trigram frequencies of every language with at least `least` texts."""
     names = sorted(x for x in set(languages) if languages.count(x) >= least)
     logs = np.full((BUCKETS, len(names) + 1), -np.log(BUCKETS))
@@ -80,9 +82,11 @@ def primary(tag: Column) -> Column:
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", language: str = "lang", most: int = MOST_TRAINING, most_bytes: int = MOST_TRAINING_BYTES) -> Model:
-    """The model of a bounded sample of rows whose language is declared."""
+    """The model of a bounded sample of rows whose language is declared: as many rows of each language as of
+    any other, if it has them, so that rare languages are learned whatever the size of the corpus. Of more
+    than most / LEAST_TEXTS languages the rarest are left out."""
     tags = docs.select(F.col(id).alias("_id"), primary(F.col(language)).alias("_y")).filter("_y <> ''")
-    got = labelled_sample(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), tags, "_text", most, most_bytes)
+    got = stratified_sample(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), tags, "_text", most, most_bytes, LEAST_TEXTS)
     return fit([t for t, _ in got], [y for _, y in got])
 
 
@@ -151,9 +155,9 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column, host
     said_so = cells.filter(F.col("_declared").isin(names) & (F.col("_guess") > 0)).groupBy("_declared", "_guess").agg(F.sum("count").alias("n"))
     tags = {(r["_declared"], r["_guess"]): r["n"] for r in said_so.collect()}  # languages squared
     said = {}
-    for d in names:  # chance of each declaration given the language, as the text alone tells it
-        for k in range(n):
-            total = sum(tags.get((x, k + 1), 0) for x in names)
+    for k in range(n):  # chance of each declaration given the language, as the text alone tells it
+        total = sum(tags.get((x, k + 1), 0) for x in names)
+        for d in names:
             said[d, k] = float(np.log((tags.get((d, k + 1), 0) + DECLARED_PRIOR * (0.8 if d == names[k] else 0.2 / max(n - 1, 1))) / (total + DECLARED_PRIOR)))
     host_counts = by_host.select("_host", array().alias("_hc"))
     suffix_counts = by_suffix.select("_suffix", array().alias("_sc"))
@@ -163,13 +167,12 @@ def identify(rows: DataFrame, model: Model, text: Column, declared: Column, host
     mine = F.when(F.col("_guess") > 0, 1.0).otherwise(0.0)
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda s, x: s + x)
     joined = joined.withColumns({"_hn": total("_hc") - mine, "_sn": total("_sc") - mine})
+    place = F.when(F.col("_declared") != UNDETERMINED, F.array_position(F.lit(names), F.col("_declared")).cast("int")).otherwise(0)
     parts = []
     for k in range(n):
         suffix = (F.element_at("_sc", k + 1) - own(k) + SUFFIX_PRIOR * float(base[k])) / (F.col("_sn") + SUFFIX_PRIOR)
         prior = (F.element_at("_hc", k + 1) - own(k) + HOST_PRIOR * suffix) / (F.col("_hn") + HOST_PRIOR)
-        tag = F.lit(0.0)
-        for d in names[:-1]:
-            tag = F.when(F.col("_declared") == d, F.lit(said[d, k])).otherwise(tag)
+        tag = F.when(place > 0, F.element_at(F.lit([said[d, k] for d in names]), place)).otherwise(0.0)
         parts.append(F.log(prior) + tag + F.coalesce(F.element_at("_logs", k + 1), F.lit(0.0)))
     joined = joined.withColumn("_sum", F.transform(F.array(*parts), lambda x: x))
     best = F.array_max("_sum")

@@ -327,6 +327,21 @@ def test_language_id(spark, empty):
     assert (row["m"], row["p"], row["t"].split()) == ("de-AT", "de", ["der", "die"])
 
 
+def test_rare_languages_are_learned(spark):
+    """Six of 3,006 rows, of which 400 are sampled: their language is in the model, and they are accepted."""
+    vocabulary = {"en": "the and of to in house water stone think", "de": "der die und nicht haus wasser stein für über", "ru": "дом вода камень мысль река ночь"}
+    data = [(i, " ".join(RANDOM.choices(vocabulary[lang].split(), k=20)), lang, "host") for i, lang in enumerate(["en", "de"] * 1500 + ["ru"] * 6)]
+    data += [(9000 + i, "x", "zz", "host") for i in range(4)] + [(0, None, "en", "host"), (None, "x", "en", "host"), (9100, "x", None, "host")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    model = lang_id.train(frame, most=400)
+    assert model.languages == ["de", "en", "ru", "und"]
+    got = {r["doc_id"]: r for r in lang_id.identify(frame, model, F.col("text"), F.col("lang"), F.col("source")).collect()}
+    assert all(got[i]["_language"] == "ru" and got[i]["_accepted"] for i in range(3000, 3006))
+    sample = lang_id.stratified_sample(frame.selectExpr("doc_id as _id", "text as _text"), frame.selectExpr("doc_id as _id", "lang as _y"), "_text", 400, 1 << 20, 5)
+    count = {x: sum(y == x for _, y in sample) for x in vocabulary}
+    assert count["ru"] == 6 and all(190 <= count[x] <= 198 for x in ("en", "de")) and sample == lang_id.stratified_sample(frame.repartition(7).selectExpr("doc_id as _id", "text as _text"), frame.selectExpr("doc_id as _id", "lang as _y"), "_text", 400, 1 << 20, 5)
+
+
 def test_language_posterior_against_brute_force(spark):
     """The fused posterior of every row, recomputed in Python."""
     import numpy as np
