@@ -37,7 +37,7 @@ UNDETERMINED = "und"
 MOST_EVIDENCE = 120.0
 #: Pseudo-counts: of a trigram, of the suffix behind a host, of all rows behind a suffix, of a declaration.
 SMOOTH, HOST_PRIOR, SUFFIX_PRIOR, DECLARED_PRIOR = 0.2, 20.0, 50.0, 5.0
-_FOLD = np.full(256, 0x20, dtype=np.uint64)  # anything but letters is a space
+_FOLD = np.full(256, 0x20, dtype=np.uint8)  # anything but letters is a space
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -59,9 +59,13 @@ def trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         middle = np.flatnonzero(x[1:-1] != 0x20)
         row = np.searchsorted(offsets, middle + at, side="right") - 1
         inside = middle + at + 3 <= offsets[row + 1]
-        middle, row = middle[inside], row[inside]
-        code = x[middle] * np.uint64(65536) + x[middle + 1] * np.uint64(256) + x[middle + 2]
-        yield row, (W.mix(code) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        middle, row = middle[inside].astype(np.int32), row[inside].astype(np.int32)
+        code = x[middle].astype(np.uint64)
+        for k in (1, 2):
+            code <<= np.uint64(8)
+            code |= x[middle + k]
+        del inside, middle
+        yield row, (W.mix(code) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 def fit(texts: list[str], languages: list[str], least: int = LEAST_TEXTS) -> Model:
