@@ -163,6 +163,15 @@ def word_hash(word: str) -> int:
     return int(tokenize(pa.array([word]), np.ones(256, dtype=bool)).hash[0])
 
 
+def grams(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values, in order, by prefix sums of a polynomial; rows do not count."""
+    n = len(values)
+    total = np.empty(n + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(values * _power(_BASE, n + 1)[:n], out=total[1:])
+    return (total[k:] - total[:-k]) * _power(_BASE_INVERSE, n + 1)[: n - k + 1]
+
+
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the distinct k-word shingles, ordered by row, then hash; a row of fewer
     words but not none has its whole sequence as its one shingle."""

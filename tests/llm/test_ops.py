@@ -219,18 +219,56 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_paragraphs(spark, empty):
-    long = " ".join(f"p{i}" for i in range(60))
-    edited = long.replace("p30 ", "changed ")
-    parts = [" ".join(f"q{i}_{j}" for j in range(15)) for i in range(4)]
-    rows_ = [(1, f"intro one\n{long}"), (2, f"other\n{edited}\nend"), (3, "\n".join(parts)), (4, "x\n" + "\n".join(parts)), (5, "short line\n" + "clean " + " ".join(f"c{i}" for i in range(60))), (6, "short line"), (7, None), (8, ""), (9, long.upper())]
-    frame = spark.createDataFrame([(*r, "clash") for r in rows_], "doc_id long, text string, paragraph string")
-    found = paragraph_dedup.repeated_paragraphs(frame)
-    got = rows(found, "doc_id", "paragraph", "class_doc_id", "class_paragraph", "removed")
-    assert got == sorted([(1, 1, 1, 1, False), (2, 1, 1, 1, True), (9, 0, 1, 1, True), *((3, i, 3, i, False) for i in range(4)), *((4, i + 1, 3, i, True) for i in range(4))], key=repr)
-    kept = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(frame, found).collect()}
-    assert kept[2] == "other\nend" and kept[4] == "x" and kept[1] == rows_[0][1] and kept[7] is None
-    assert paragraph_dedup.repeated_paragraphs(empty).count() == 0
+def brute_passages(rows_, least):
+    """doc, start, end, removed by all runs of `least` words of all documents."""
+    held, state = {}, {}
+    tokens = [(doc, words(text)) for doc, text in rows_]
+    for doc, w in tokens:
+        for p in range(len(w) - least + 1):
+            held.setdefault(tuple(w[p : p + least]), set()).add(doc)
+    out = set()
+    for doc, w in tokens:
+        state = [None] * len(w)
+        for p in range(len(w) - least + 1):
+            docs_ = held[tuple(w[p : p + least])]
+            for i in range(p, p + least if len(docs_) > 1 else p):
+                state[i] = bool(state[i]) or doc == min(docs_)
+        for kept, run in itertools.groupby(range(len(w)), key=lambda i: state[i]):
+            run = list(run)
+            if kept is not None:
+                out.add((doc, run[0], run[-1] + 1, not kept))
+    return out
+
+
+def test_passages(spark, empty):
+    """Passages of 49 to 90 words inside lines, over lines, at ends, edited, nested, next to each other; copies of whole texts;
+    runs of one word; rows of one id; nulls."""
+    fill = lambda n: " ".join(f"f{RANDOM.random():.9f}"[:10].replace(".", "") for _ in range(n))
+    passage = {n: fill(n) for n in (49, 50, 51, 60, 90)}
+    edited = passage[90].split()
+    edited[55] = "edit"
+    texts = [f"{fill(7)} {passage[n]} {fill(11)}.\n{fill(40)}" for n in passage for _ in range(3)]
+    texts += [passage[60].replace(" ", "\n", 30).upper(), f"{passage[51]} {passage[60]}", f"a {passage[60]}, {passage[51]}", f"{fill(3)} {' '.join(edited)} {fill(3)}", " ".join(passage[90].split()[10:70])]
+    texts += [fill(70)] * 4 + [fill(30)] * 3 + ["le " * 200, "x " + "le " * 90, "no " * 300, None, "", None, "short"]
+    whole = fill(120)
+    texts += [whole, whole, fill(5) + " " + " ".join(whole.split()[40:]), whole + " " + fill(20), " ".join(f"é{i}" for i in range(30_000))]
+    rows_ = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (1, f"{fill(60)} {passage[60]}"), (1, "le " * 60)]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows_], "doc_id long, text string, paragraph string, doc int").repartition(5)
+    found = paragraph_dedup.repeated_passages(frame).cache()
+    want = brute_passages(rows_, 50)
+    assert {tuple(r) for r in found.select("doc_id", "start_word", "end_word", "removed").collect()} == want and found.count() == len(want)
+    assert found.filter("n_words <> end_word - start_word or component_id is null or component_id > doc_id").count() == 0
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(frame, found).collect() if r["doc_id"] != 1}
+    for doc, text in rows_:
+        if doc != 1:
+            gone = {i for d, a, b, removed in want if d == doc and removed for i in range(a, b)}
+            assert words(left[doc]) == [w for i, w in enumerate(words(text)) if i not in gone], doc
+            assert gone or left[doc] == text
+    nulls = spark.createDataFrame([(None, passage[60]), (None, passage[60]), (None, "x " + passage[60]), (None, None), (7, passage[60] + " y")], "doc_id long, text string")
+    got = rows(paragraph_dedup.repeated_passages(nulls), "doc_id", "start_word", "end_word", "removed", "component_id")
+    assert got == sorted([(7, 0, 60, False, 7), (None, 0, 60, True, 7), (None, 1, 61, True, 7)], key=repr)
+    assert paragraph_dedup.without_repeats(nulls, paragraph_dedup.repeated_passages(nulls)).filter("text is not null").count() == 4
+    assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
