@@ -21,6 +21,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("src", F.col("least").alias("dst"))).distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (src > dst) with the same components as edges after one round of both steps: already stars where
+    components are small in diameter. Each src has one or more dst."""
+    return checkpointed(_small_star(_large_star(edges.select("src", "dst").filter("src <> dst").distinct())))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge; edges has columns src and dst of one orderable
     type, in any direction, repeated or not. component is the smallest node that can be reached.

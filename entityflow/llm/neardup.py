@@ -5,10 +5,11 @@
 2. One minimum and maximum per band key tells which keys hold more than one node. A Bloom filter of
    these keys (bounded size) selects the nodes that have any partner; only those move with text.
 3. Each node is paired with the least node of each of its keys (a star, linear in the bucket), pairs
-   are tested on signatures, then on full sets, and linked nodes make components.
-4. Where a bucket still holds several components, its nodes are joined across components by an exact
+   are tested on signatures, then on full sets, and linked nodes get a common label (one round of stars).
+4. Where a bucket still holds several labels, its nodes are joined across labels by an exact
    set-similarity join (prefix, length and positional filters), so that no link is lost where the centre
-   of a star is not similar. Pairs inside a component are not tested again: they cannot change it.
+   of a star is not similar. Pairs of one label are not tested again: they cannot change components.
+5. All links make components.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from entityflow.shipping import map_arrow
 
 from . import words as W
-from .components import components
+from .components import components, contracted
 from .sketch import MinHash, fingerprint
 from .store import checkpointed, maybe_in, membership
 
@@ -182,15 +183,20 @@ def _across(nodes: DataFrame, how: Likeness) -> DataFrame:
     set-similarity join with prefix, length and positional filters, so that sets which differ in enough
     rare shingles never meet, however many share the rest. Labels meet first: a token whose sets all
     have one label gives nothing."""
-    part, total = how.part, how.part + how.whole
+    part, whole, total = how.part, how.whole, how.part + how.whole
     found = checkpointed(_prefixes(nodes, how))
+    # of the sets of one label that hold a token: the bounds that the filters below need
+    bounds = lambda frame, k: frame.groupBy("token", F.col("label").alias(f"label{k}")).agg(F.min("size").alias(f"lo{k}"), F.max("size").alias(f"hi{k}"), F.max(F.col("size") - F.col("place")).alias(f"rest{k}"))
     # the smaller set of a pair shares 2 part / (part + whole) of itself, so its prefix is shorter
     lesser = found.filter(f"(size - place) * {total} >= 2 * {part} * size")
-    labels = lesser.select("token", "label").distinct().join(found.select("token", F.col("label").alias("label2")).distinct(), "token").filter("label <> label2")
-    left = labels.join(lesser, ["token", "label"]).select("token", "label2", F.col("node").alias("src"), F.col("size").alias("n"), F.col("place").alias("p"))
+    several = found.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
+    held = checkpointed(bounds(found, 2).join(several, "token"))
+    need = f"{part} * (lo1 + greatest(lo1, lo2))"
+    labels = bounds(lesser, 1).join(held, "token").filter(f"label1 <> label2 and lo1 <= hi2 and hi1 * {whole} >= lo2 * {part} and rest1 * {total} >= {need} and rest2 * {total} >= {need}")
+    left = labels.select("token", F.col("label1").alias("label"), "label2").join(lesser, ["token", "label"]).select("token", "label2", F.col("node").alias("src"), F.col("size").alias("n"), F.col("place").alias("p"))
     right = found.select("token", F.col("label").alias("label2"), F.col("node").alias("dst"), F.col("size").alias("n2"), F.col("place").alias("p2"))
     need = f"{part} * (n + n2)"
-    near = left.join(right, ["token", "label2"]).filter(f"(n < n2 or (n = n2 and src < dst)) and n * {how.whole} >= n2 * {part} and (n - p) * {total} >= {need} and (n2 - p2) * {total} >= {need}")
+    near = left.join(right, ["token", "label2"]).filter(f"(n < n2 or (n = n2 and src < dst)) and n * {whole} >= n2 * {part} and (n - p) * {total} >= {need} and (n2 - p2) * {total} >= {need}")
     return near.select("src", "dst").distinct()
 
 
@@ -208,15 +214,14 @@ def near_classes(texts: DataFrame, how: Likeness) -> DataFrame:
     nodes = checkpointed(_candidates(texts, shared, how))
     placed = checkpointed(nodes.select("node", F.explode("keys").alias("key")).join(shared, "key"))
     star = placed.filter("node <> centre").select(F.col("centre").alias("src"), F.col("node").alias("dst")).distinct()
-    links = checkpointed(_verified(star, nodes, how))
-    found = checkpointed(components(links))
-    labelled = placed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"), "centre")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
+    links = contracted(_verified(star, nodes, how))
+    # a label tells which nodes are surely in one component; it need not be the component's least
+    found = links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))
+    labelled = checkpointed(placed.join(found, "node", "left").select("key", "node", F.coalesce("label", F.col("node")).alias("label")))
+    open_keys = checkpointed(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key"))
     still = checkpointed(labelled.join(open_keys, "key").select("node", "label").distinct())
     more = _verified(_across(nodes.join(still, "node").select("node", "label", "text"), how), nodes, how)
-    bridges = more.join(still.toDF("src", "a"), "src").join(still.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    joined = components(bridges).toDF("component", "top")
-    final = checkpointed(found.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("label")).unionByName(joined.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("label"))))
+    final = components(links.unionByName(more)).withColumnRenamed("component", "label")
     sets = rows.filter("one is not null").groupBy("one", "two").agg(F.min("id").alias("least"))
     sets = sets.join(final, sets["one"] == final["node"], "left").select("one", "two", "least", "label")
     top = sets.filter("label is not null").groupBy("label").agg(F.min("least").alias("top"))
