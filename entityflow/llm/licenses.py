@@ -41,13 +41,14 @@ CONTAINMENT = 0.85
 class Scanner(NamedTuple):
     """vocab: sorted word hashes of phrases and templates, spelled: their bytes; order: the vocabulary's
     rank, rarest in the corpus first; templates: per template label, ranks ascending, required overlap;
-    index: per rank the (template, position) whose prefix holds it; phrases: ids and label."""
+    index: per reach (words that lines are joined up to) and rank the (template, position) whose prefix
+    holds it; phrases: ids and label."""
 
     vocab: np.ndarray
     spelled: list[bytes]
     order: np.ndarray
     templates: list[tuple[str, np.ndarray, int]]
-    index: dict[int, list[tuple[int, int]]]
+    index: dict[int, dict[int, list[tuple[int, int]]]]
     phrases: list[tuple[np.ndarray, str]]
 
 
@@ -63,8 +64,13 @@ def vocabulary(phrases: tuple, templates: tuple) -> tuple[np.ndarray, list[bytes
     return hashes[by], [spelled[i] for i in by.tolist()]
 
 
+def reach(template: str) -> int:
+    """Lines are joined to a block until they have so many words: twice those of the template."""
+    return 2 * len(_tokens(template))
+
+
 def make_scanner(phrases: tuple, templates: tuple, counts: dict[int, int], containment: float) -> Scanner:
-    """counts: in how many blocks of the corpus each word of the vocabulary stands."""
+    """counts: in how many lines of the corpus each word of the vocabulary stands."""
     vocab, spelled = vocabulary(phrases, templates)
     place = {w: i for i, w in enumerate(spelled)}
     order = np.empty(len(vocab), dtype=np.int64)
@@ -74,7 +80,7 @@ def make_scanner(phrases: tuple, templates: tuple, counts: dict[int, int], conta
         ranks = np.unique([order[place[w]] for w in _tokens(text)])
         least = math.ceil(len(ranks) * containment - 1e-9)
         for position in range(len(ranks) - least + 1):  # prefix filter: the template's side
-            index.setdefault(int(ranks[position]), []).append((len(made), position))
+            index.setdefault(reach(text), {}).setdefault(int(ranks[position]), []).append((len(made), position))
         made.append((label, ranks, least))
     return Scanner(vocab, spelled, order, made, index, [(np.array([place[w] for w in _tokens(text)]), label) for text, label in phrases])
 
@@ -90,28 +96,45 @@ def _known(words: W.Words, vocab: np.ndarray, spelled: list[bytes]) -> np.ndarra
     return out
 
 
-def _blocks(words: W.Words) -> np.ndarray:
-    """A number per word: blocks are lines, and numbers grow from block to block and row to row."""
-    return np.searchsorted(np.flatnonzero(words.data == 10), words.start) + words.row
+def _lines(words: W.Words) -> np.ndarray:
+    """The first word of each line that has words, and at the end the number of words."""
+    line = np.searchsorted(np.flatnonzero(words.data == 10), words.start) + words.row
+    new = np.ones(len(line) + 1, dtype=bool)
+    new[1:-1] = line[1:] != line[:-1]
+    return np.flatnonzero(new)
 
 
 def template_matches(words: W.Words, known: np.ndarray, scanner: Scanner) -> list[tuple[int, int, int, float]]:
     """(row, first word of the block, template, containment) of each block that reaches the threshold."""
-    hit = np.flatnonzero(known >= 0)
-    pairs = np.unique(np.stack([_blocks(words)[hit], scanner.order[known[hit]]]), axis=1)
-    if not pairs.size:
-        return []
-    block, rank = pairs
-    start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    first, hit, out = _lines(words), np.flatnonzero(known >= 0), []
+    if len(first) < 2 or not len(hit):
+        return out
+    start, rank, n = first[:-1], scanner.order[known[hit]], len(scanner.order)
+    row = words.row[start]
+    last = np.searchsorted(row, row, side="right")
+    low = np.searchsorted(hit, start)
+    for reach, index in scanner.index.items():
+        end = np.minimum(np.searchsorted(start, start + reach), last)
+        size = np.searchsorted(hit, first[end]) - low
+        some = np.flatnonzero(size >= min(scanner.templates[t][2] for x in index.values() for t, _ in x))
+        size = size[some]
+        at = np.arange(size.sum()) + np.repeat(low[some] - (np.cumsum(size) - size), size)
+        pairs = np.unique(np.repeat(some, size) * n + rank[at])
+        out += [(int(row[b]), int(start[b]), t, share) for b, t, share in _similar(pairs // n, pairs % n, index, scanner)]
+    return out
+
+
+def _similar(block: np.ndarray, rank: np.ndarray, index: dict[int, list[tuple[int, int]]], scanner: Scanner) -> list[tuple[int, int, float]]:
+    """(block, template, containment); block and rank are distinct pairs in ascending order."""
+    start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(start, len(block)))
     number = np.repeat(np.arange(len(start)), size)
     position = np.arange(len(block)) - start[number]
     out, seen = [], set()
-    all_blocks = _blocks(words)
-    for at in np.flatnonzero(np.isin(rank, np.fromiter(scanner.index, dtype=np.int64))).tolist():
+    for at in np.flatnonzero(np.isin(rank, np.fromiter(index, dtype=np.int64))).tolist():
         b = int(number[at])
-        for t, q in scanner.index[int(rank[at])]:
-            label, ranks, least = scanner.templates[t]
+        for t, q in index[int(rank[at])]:
+            _, ranks, least = scanner.templates[t]
             here, own = int(position[at]), int(size[b])
             if (b, t) in seen or own < least or here > own - least:  # length filter; prefix filter: the block's side
                 continue
@@ -120,8 +143,7 @@ def template_matches(words: W.Words, known: np.ndarray, scanner: Scanner) -> lis
             seen.add((b, t))
             shared = len(np.intersect1d(rank[start[b] : start[b] + own], ranks, assume_unique=True))
             if shared >= least:
-                first = int(np.searchsorted(all_blocks, block[start[b]]))
-                out.append((int(words.row[first]), first, t, shared / len(ranks)))
+                out.append((int(block[at]), t, shared / len(ranks)))
     return out
 
 
@@ -137,8 +159,8 @@ def phrase_places(words: W.Words, known: np.ndarray, scanner: Scanner) -> list[t
     return out
 
 
-def block_counts(docs: DataFrame, text: str, phrases: tuple, templates: tuple) -> dict[int, int]:
-    """In how many blocks of all rows each word of the vocabulary stands: one small row per word and
+def line_counts(docs: DataFrame, text: str, phrases: tuple, templates: tuple) -> dict[int, int]:
+    """In how many lines of all rows each word of the vocabulary stands: one small row per word and
     task, then one per word."""
     vocab, spelled = vocabulary(phrases, templates)
 
@@ -149,8 +171,8 @@ def block_counts(docs: DataFrame, text: str, phrases: tuple, templates: tuple) -
                 words = W.tokenize(batch.column("text"), W.ALNUM)
                 known = _known(words, vocab, spelled)
                 hit = np.flatnonzero(known >= 0)
-                pairs = np.unique(np.stack([_blocks(words)[hit], known[hit]]), axis=1)
-                total += np.bincount(pairs[1].astype(np.int64), minlength=len(vocab))
+                line = np.searchsorted(_lines(words), hit, side="right")
+                total += np.bincount(np.unique(line * len(vocab) + known[hit]) % len(vocab), minlength=len(vocab))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocab)), pa.int32()), pa.array(total)], ["word", "n"])
 
     counted = map_arrow(docs.select(F.col(text).cast("string").alias("text")), run, "word int, n long")
@@ -159,16 +181,18 @@ def block_counts(docs: DataFrame, text: str, phrases: tuple, templates: tuple) -
 
 def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: tuple = PHRASES, templates: tuple = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, base (start words and label of each phrase place, in
-    order), blocks (first word, label, containment of each line that holds at least `containment` of a
+    order), blocks (first word, label, containment of each block that holds at least `containment` of a
     template's distinct words), score: the highest containment of a block, at least 0.5 if a phrase
     stands anywhere, else 0.
 
-    The join is exact: words in ascending order of the number of blocks they stand in, prefix, length
+    A block is a line and, as notices are often wrapped, the lines after it until it has twice the words of
+    the template (lines without words do not count). Every line with words begins a block for each template.
+    The join is exact: words in ascending order of the number of lines they stand in, prefix, length
     and positional filters, then the whole overlap. Templates and phrases are a fixed list (their size
     is the bound of what tasks get). Null and empty texts have no words; repeated rows are judged alike;
     no rows give no rows; other columns are not read.
     """
-    scanner = make_scanner(phrases, templates, block_counts(docs, text, phrases, templates), containment)
+    scanner = make_scanner(phrases, templates, line_counts(docs, text, phrases, templates), containment)
     base_type = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
     block_type = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
