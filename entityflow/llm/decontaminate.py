@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from entityflow.shipping import map_arrow
 
 from . import words as W
-from .store import small_side
+from .store import row_key, small_side
 
 #: Most bytes of test text in a block, the bound of what is sent to every task.
 BLOCK_BYTES = 8 << 20
@@ -231,11 +233,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    kind = items.schema["item"].dataType.simpleString()
+    kind = items.schema["item"].dataType
     wide = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
     block = F.pmod(F.xxhash64("text"), F.lit(wide))
     read = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, " + _RESULT.format(item=kind)
+    schema = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, " + _RESULT.format(item=kind.simpleString())
     for k in range(wide):
         got = (items.filter(block == k) if wide > 1 else items).collect()
         sent = spark.sparkContext.broadcast(index_items([r["item"] for r in got], [r["text"] for r in got], window))
@@ -243,9 +245,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     return read.drop("text")
 
 
-def _searcher(sent, kind: str):  # noqa: ANN001, ANN202
+def _searcher(sent, kind: T.DataType):  # noqa: ANN001, ANN202
     """Adds one block's matches to those of the blocks before, row by row."""
-    name = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    name = to_arrow_type(kind)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     best = pa.struct([("words", pa.int64()), ("start", pa.int64()), ("item", name), ("item_start", pa.int64())])
 
@@ -291,7 +293,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:  # noqa: ANN003
-    """docs, all columns, without the documents that have a hit. Rows of a null id are kept or removed
-    together with the others of null id: where such rows matter give another id column."""
-    bad = find_matches(docs, benchmark, id, text, **how).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(small_side(bad), F.col(id).eqNullSafe(F.col("_bad")), "left_anti")
+    """docs, all columns, without the rows whose text has a hit. Rows are judged by their own text, whatever
+    other rows have their id; null and empty texts stay; no rows give no rows."""
+    keyed = docs.select(row_key(id, text).alias("_key"), F.col(text).alias("_text"))
+    bad = find_matches(keyed, benchmark, "_key", "_text", **how).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(small_side(bad), row_key(id, text) == F.col("_bad"), "left_anti")

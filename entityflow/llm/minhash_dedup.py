@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import Likeness, near_classes
-from .store import small_side
+from .store import row_key, small_side
 
 #: 24 bands of 5 of 120 minima: a pair at 0.8 is missed with probability 7e-5, at 0.85 with 8e-7.
 DOCUMENTS = Likeness(shingle=5, part=80, whole=100, bands=24, rows=5)
@@ -27,6 +27,17 @@ def near_duplicates(docs: DataFrame, how: Likeness = DOCUMENTS, id: str = "doc_i
 
 
 def deduplicated(docs: DataFrame, how: Likeness = DOCUMENTS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, without the near-copies: of each component the document of the least id."""
-    gone = near_duplicates(docs, how, id, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(gone), F.col(id) == F.col("_gone"), "left_anti")
+    """docs, all columns, without the near-copies: of each component the document of the least id.
+
+    Rows are judged one by one: rows of one id are documents of their own, a null id comes behind all others,
+    and of rows that are equal in id and text one stays (any of them, where other columns differ). Null and
+    empty texts, and texts without words, stay, all of them. No rows give no rows.
+    """
+    key, found = row_key(id, text), near_classes(docs.select(row_key(id, text).alias("id"), F.col(text).cast("string").alias("text")), how).filter("class is not null")
+    counted = found.groupBy("id").agg((F.first("class") == F.col("id")).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not stays")
+    marked = small_side(counted.select(F.col("id").alias("_key"), F.col("stays").alias("_stays")))
+    single = docs.join(marked, key == F.col("_key"), "left_anti")
+    if not marked.filter("_stays").head(1):
+        return single
+    again = docs.withColumn("_row", key).join(marked.filter("_stays"), F.col("_row") == F.col("_key"), "left_semi")
+    return single.unionByName(again.dropDuplicates(["_row"]).drop("_row"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bits of a membership filter: 64 MB. Beyond its capacity it lets more through, never less.
@@ -15,16 +16,37 @@ FILTER_BITS = 1 << 29
 SMALL_ROWS = 500_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where neither the session nor the
+    context names one, a folder is made if the whole of Spark runs in this one process; a cluster is refused."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoints")
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame, written to the folder in spark.checkpoint.dir that all executors share. Only where
-    neither the session nor the context names one (tests on one machine) a folder is made."""
+    """The frame, written to the shared folder."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 
+def row_key(id: str, text: str) -> Column:
+    """What tells rows apart: id and text. Rows equal in both are alike in all that depends on them. Null ids
+    come behind the others."""
+    column = F.col(id).cast("long")
+    return F.struct(column.isNull().alias("none"), column.alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text"))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(frame: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """The frame, written, as the side of a join: to be broadcast if it has at most `most` rows (they
     must be short), to be shuffled beyond that. The other side then stays where it is, with its texts."""

@@ -32,7 +32,7 @@ def test_pipeline(spark):
         out = stage(spark, docs, DATA)
         after = {r["doc_id"]: r for r in out.collect()}
         if name == "language_id":
-            assert after.keys() == before.keys()
+            assert after.keys() == before.keys() and {k: r["lang"] for k, r in after.items()} == {k: r["lang"] for k, r in before.items()}
         elif name == "near_dedup":
             want = brute_components({k: shingled(r["text"], 5, SPACED) for k, r in before.items()}, 80, 100)
             assert after.keys() == {k for k, c in want.items() if k == c}

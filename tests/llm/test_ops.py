@@ -100,7 +100,11 @@ def test_near_duplicates(spark, docs, texts, empty):
     assert got[None, 1] == (5, False)
     assert minhash_dedup.near_duplicates(empty).count() == 0
     kept = minhash_dedup.deduplicated(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
+    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 0
+    many = [(1, "a b c"), (1, "a b c"), (1, "other text here"), (2, "a b c"), (2, "own words"), (None, "alone"), (None, "alone"), (None, "own words"), (None, None), (None, None), (3, ""), (3, "")]
+    left = minhash_dedup.deduplicated(spark.createDataFrame([(*r, "clash") for r in many], "doc_id long, text string, id string"))
+    assert rows(left, "doc_id", "text") == sorted([(1, "a b c"), (1, "other text here"), (2, "own words"), (None, "alone"), (None, None), (None, None), (3, ""), (3, "")], key=repr)
+    assert minhash_dedup.deduplicated(empty).count() == 0
 
 
 def test_near_duplicates_of_a_family_without_a_centre(spark):
@@ -146,6 +150,10 @@ def test_decontamination(spark, docs, texts, empty, block_bytes):
     assert decontaminate.find_matches(empty, bench).count() == 0
     assert decontaminate.find_matches(docs, bench.limit(0)).filter(F.size("hits") > 0).count() == 0
     assert decontaminate.decontaminated(docs.filter("doc_id = 12"), bench).columns == docs.columns
+    some = spark.createDataFrame([(None, "clean text"), (None, "two words"), (None, None), (5, "two words"), (5, "clean")], "doc_id long, text string")
+    assert rows(decontaminate.decontaminated(some, bench), "doc_id", "text") == sorted([(None, "clean text"), (None, None), (5, "clean")], key=repr)
+    decimal = spark.createDataFrame([(1, "two words")], "item_id int, text string").withColumn("item_id", F.col("item_id").cast("decimal(9,2)"))
+    assert [str(r["items"][0]) for r in decontaminate.find_matches(some, decimal).filter(F.size("items") > 0).collect()] == ["1.00"] * 2
 
 
 def test_suffix_array():
@@ -205,6 +213,8 @@ def test_licenses(spark, docs, empty):
     cases = {
         1: "All rights reserved. all RIGHTS reserved", 2: "general\npublic license CC BY", 3: "Released under the MIT license!", 4: "released under the license", 5: None, 6: "",
         7: "x\nPermission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in it\ny", 8: "rights all reserved", 9: "This work is licensed under a Creative Commons Attribution 4.0 International License", 10: "CC BY-SA",
+        11: "\n".join(["some code", *("# " + " ".join(words(t)[i : i + 9]) + "\n#" * (i == 9) for _, t in licenses.TEMPLATES if "hereby" in t or "unless" in t for i in range(0, 40, 9)), "more code"]),
+        12: "released\n" + "a few words of another matter\n" * 4 + "under the mit\n" + "a few words of another matter\n" * 4 + "license",
     }
     frame = spark.createDataFrame([(k, v, "clash") for k, v in cases.items()], "doc_id long, text string, base string")
     got = {r["doc_id"]: r for r in licenses.scan_licenses(frame).collect()}
@@ -212,10 +222,20 @@ def test_licenses(spark, docs, empty):
     assert [x["start"] for x in got[1]["base"]] == [0, 3] and labels(1) == {"reserved"} and got[1]["score"] == 0.5
     assert labels(2) == {"gpl", "cc-by"} and labels(3) == {"mit"} and got[3]["score"] == 1.0 and labels(7) == {"mit"} and labels(9) == {"cc-by"} and labels(10) == {"cc-by", "cc-by-sa"}
     assert not labels(5) and not labels(6) and not labels(8) and got[5]["n_words"] == 0
-    templates = [set(words(t)) for _, t in licenses.TEMPLATES]
+    assert labels(11) == {"mit", "apache-2.0"} and got[11]["score"] == 1.0 and not labels(12)
     for k, text in cases.items():  # every block that reaches the threshold is found, with its containment
-        want = sorted(len(t & set(words(line))) / len(t) for line in (text or "").split("\n") for t in templates if len(t & set(words(line))) >= licenses.CONTAINMENT * len(t))
-        assert sorted(x["containment"] for x in got[k]["blocks"]) == pytest.approx(want)
+        lines, want = [words(line) for line in (text or "").split("\n") if words(line)], []
+        for label, template in licenses.TEMPLATES:
+            t = set(words(template))
+            for i in range(len(lines)):
+                block = set(lines[i])
+                for j in range(i + 1, len(lines)):
+                    if sum(map(len, lines[i:j])) >= 2 * len(words(template)):
+                        break
+                    block |= set(lines[j])
+                if len(t & block) >= licenses.CONTAINMENT * len(t):
+                    want.append((sum(map(len, lines[:i])), label, len(t & block) / len(t)))
+        assert sorted(tuple(x) for x in got[k]["blocks"]) == sorted(want), k
     assert licenses.scan_licenses(empty).count() == 0
 
 
