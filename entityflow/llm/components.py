@@ -24,7 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (src > dst) with the same components as edges after one round of both steps: already stars where
     components are small in diameter. Each src has one or more dst."""
-    return checkpointed(_small_star(_large_star(edges.select("src", "dst").filter("src <> dst").distinct())))
+    # written first: the steps read their edges many times, and each reading is a copy of the plan
+    return checkpointed(_small_star(_large_star(checkpointed(edges.select("src", "dst").filter("src <> dst").distinct()))))
 
 
 def components(edges: DataFrame) -> DataFrame:
