@@ -8,7 +8,7 @@ from .media import media_columns
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=())
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("media", "fingerprints"))
 
 
 QUERIES = {"op5_media_columns": op5_media_columns}
