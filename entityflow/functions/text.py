@@ -3,6 +3,9 @@ folding must reach beyond ASCII)."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,18 +36,40 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _plain_forms() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decompositions without marks of all characters of the basic plane: those of one
+    character as two strings for translate(), the longer ones as a table."""
+    single, longer = {}, {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xF900, 0x10000))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain:
+            (single if len(plain) == 1 else longer)[c] = plain
+    return "".join(single), "".join(single.values()), longer
+
+
+_FROM, _TO, _LONGER = _plain_forms()
+
+
+def plain(text: Column) -> Column:
+    """Letters without accents, compatibility forms spelled out; single marks stay (they are no letters)."""
+    table = F.create_map(*(F.lit(x) for pair in _LONGER.items() for x in pair))
+    some = text.rlike("[" + re.sub(r"([\\\[\]^&-])", r"\\\1", "".join(_LONGER)) + "]")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.translate(F.when(some, spelled).otherwise(text), _FROM, _TO)
+
+
 def name_key(name: Column) -> Column:
-    """The comparison key of an ASCII name: lower case, one .com/.org/.net and one legal form at the end
-    removed, letters and digits only."""
-    text = F.regexp_replace(F.lower(name), r"^[ ,.-]+|[ ,.-]+$", "")
+    """The comparison key of a name: lower case without accents, one .com/.org/.net and one legal form at the
+    end removed, letters and digits only."""
+    text = F.regexp_replace(F.replace(F.lower(plain(name)), F.lit("ß"), F.lit("ss")), r"^[ ,.-]+|[ ,.-]+$", "")
     text = F.regexp_replace(text, r"\.(?:com|org|net)$", "")
     text = F.regexp_replace(text, rf"[\s,.]+(?:(?:pte|pty)\.?\s+)?(?:{'|'.join(LEGAL)})\.?$", "")
-    return F.regexp_replace(text, "[^a-z0-9]", "")
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
 
 
 def slug(name: Column) -> Column:
-    """Directory name of an ASCII name; empty if nothing is left."""
-    kept = F.regexp_replace(F.regexp_replace(name, r"[^\x00-\x7f]", ""), r"[^._A-Za-z0-9-]+", "-")
+    """Directory name of a name: what is ASCII without accents; empty if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(plain(name), r"[^\x00-\x7f]", ""), r"[^._A-Za-z0-9-]+", "-")
     return F.lower(F.regexp_replace(kept, r"^[._-]+|[._-]+$", ""))
 
 

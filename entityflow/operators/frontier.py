@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host_suffixes
 
+#: Most domains of a gate.
+MOST_LISTED = 10_000
+
 
 def unseen(results: DataFrame) -> DataFrame:
     """results (query, idx, url, ...): rows whose url is not on an earlier page of the query. Repeats
@@ -59,12 +62,30 @@ def work_left(results: DataFrame, resolutions: DataFrame, retry_pending: bool =
 def gated(urls: DataFrame, listed: DataFrame, host: str = "host") -> DataFrame:
     """urls with kind: that of the listed domain that equals the host or a parent of it, else null.
 
-    An equality join on exploded suffixes instead of a suffix comparison; no two listed domains contain
-    one another, so a row has one match at most. The listed side is a fixed dimension of known size.
+    listed (domain, kind) is a dimension of MOST_LISTED rows at most, which is checked: no join, no shuffle.
+    No two listed domains contain one another, so a row has one match at most.
     """
-    keyed = urls.withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.select("_row", F.explode(host_suffixes(F.col(host))).alias("domain")).join(F.broadcast(listed), "domain").select("_row", "kind")
-    return keyed.join(hits, "_row", "left").drop("_row")
+    rows = listed.select("domain", "kind").limit(MOST_LISTED + 1).collect()
+    if len(rows) > MOST_LISTED:
+        raise ValueError("too_many_listed_domains")
+    return urls.withColumn("kind", gate_kind(F.col(host), {r["domain"]: r["kind"] for r in rows}) if rows else F.lit(None).cast("string"))
+
+
+def looked_up(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The stored pages (query, start, ...) that are wanted (query, start)."""
+    return stored.join(wanted.select("query", "start"), ["query", "start"], "left_semi")
+
+
+def saved(stored: DataFrame) -> DataFrame:
+    """stored (query, start, ...) with place: the page's number within its query, by its offset."""
+    return stored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("start")).cast("long"))
+
+
+def repaired(progress: DataFrame, pages: DataFrame) -> DataFrame:
+    """progress (query, status, ...): incomplete queries without a stored page become not_started."""
+    having = pages.select("query").distinct().withColumn("_has", F.lit(True))
+    status = F.when((F.col("status") == "incomplete") & F.col("_has").isNull(), "not_started").otherwise(F.col("status"))
+    return progress.join(having, "query", "left").withColumn("status", status).drop("_has")
 
 
 def gate_kind(host: Column, listed: dict[str, str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,9 +40,16 @@ def reserve(batches: DataFrame, new: int, limit: int) -> int:
 TRANSITIONS = {"planned": {"running", "abandoned"}, "running": {"running", "done", "abandoned"}, "done": set(), "abandoned": set()}
 
 
-def moved(batches: DataFrame, batch: int, status: str, run_id: str | None = None) -> DataFrame:
-    """batches with one batch in a new state; a step that TRANSITIONS does not have fails the job."""
-    here = F.col("id") == batch
+def running_reservations(batches: DataFrame, limit: int, run: str) -> DataFrame:
+    """batches (run, id, reserved_pages) with reserved (the total up to each batch of its run) and exceeded."""
+    total = F.sum("reserved_pages").over(Window.partitionBy(run).orderBy("id"))
+    return batches.withColumns({"reserved": total, "exceeded": total > limit})
+
+
+def moved(batches: DataFrame, batch: int | Column, status: str, run_id: str | None = None) -> DataFrame:
+    """batches with one batch (or those of a condition) in a new state; a step that TRANSITIONS does not
+    have fails the job."""
+    here = batch if isinstance(batch, Column) else F.col("id") == batch
     before = [old for old, new in TRANSITIONS.items() if status in new]
     checked = F.when(F.col("status").isin(before), F.lit(status)).otherwise(F.raise_error(F.concat(F.lit("batch_transition: "), F.col("status"), F.lit(f" -> {status}"))).cast("string"))
     out = batches.withColumn("status", F.when(here, checked).otherwise(F.col("status")))

@@ -77,6 +77,9 @@ class _Case:
         for url in home.abouts:
             if url in self.inspected:
                 continue
+            if url.startswith(P.NO_ADDRESS):
+                self.failed(url.removeprefix(P.NO_ADDRESS), "invalid_url")
+                return None
             try:
                 page = self.inspect(url)
             except _Lost as lost:

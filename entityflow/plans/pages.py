@@ -285,6 +285,8 @@ class Page(NamedTuple):
     news: bool = False
 
 
+#: Before a link of `abouts` that is no web address.
+NO_ADDRESS = "invalid:"
 EDITORIAL_PATH = re.compile(r"/(?:articles?|blog|compare|news|not[ií]cias|press|reviews?)(?:/|$)", re.I)
 
 
@@ -310,6 +312,8 @@ def evidence(url: str, root: Node) -> Page:
         if "href" not in a.attributes:
             continue
         target = _joined(url, a.get("href"))
+        if target is None and ABOUT.match(a.text()):
+            abouts.append(NO_ADDRESS + a.get("href"))
         if target is None or host(target) != host(url):
             continue
         if f"{a.get('aria-label')} {a.text()}".strip().lower() in HOME_LABELS or any("logo" in i.get("alt").lower() for i in a.all("img")):

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import written
 from ..shipping import map_arrow
 from . import pages as P
 from .decide import MOST_INSPECTED, decide
@@ -89,10 +90,10 @@ def resolve(results: DataFrame, corpus: DataFrame) -> DataFrame:
     Equal URLs are decided once. Pages that the corpus lacks fail as not_available_in_fixture; null and
     malformed URLs are pending/invalid_url.
     """
-    records = page_records(corpus)
+    records = written(page_records(corpus))
     state = results.select(F.coalesce("url", F.lit("")).alias("url")).distinct().withColumn("known", F.create_map().cast("map<string,string>"))
     for step in range(3):
-        state = _step(state, records, step)
+        state = written(_step(state, records, step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -220,11 +220,11 @@ def ready_heads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY turn ORDER BY conv_id)::BIGINT AS place FROM conversations")
 def query_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    placed = F.row_number().over(frontier.Window.partitionBy("turn").orderBy("conv_id")).cast("long")
-    return table(spark, d, "conversations").select("conv_id", "turn", placed.alias("place"))
+    jobs = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("round"))
+    return frontier.interleaved(jobs, host="round", position="conv_id").select("conv_id", F.col("round").alias("turn"), F.col("turn").alias("place"))
 
 
-_EV = "SELECT user_id AS q, date_trunc('day', ts) AS day, event_type || ((event_id % 3)::VARCHAR) AS url FROM events WHERE event_id < 3000"
+_EV = "SELECT user_id AS q, date_trunc('day', ts) AS day, event_type || ((event_id % 3)::VARCHAR) AS url FROM events"
 
 
 def _event_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -317,8 +317,8 @@ def batch_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_nationkey, c_custkey, sum(c_custkey % 7) OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::BIGINT AS reserved, sum(c_custkey % 7) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) > 100 AS exceeded FROM customer")
 def reservation_running_sum(spark: SparkSession, d: str) -> DataFrame:
-    total = F.sum(F.col("c_custkey") % 7).over(frontier.Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return table(spark, d, "customer").select("c_nationkey", "c_custkey", total.alias("reserved"), (total > 100).alias("exceeded"))
+    batches = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7).alias("reserved_pages"))
+    return planner.running_reservations(batches, 100, "c_nationkey").select("c_nationkey", F.col("id").alias("c_custkey"), "reserved", "exceeded")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -336,9 +336,8 @@ def saved_queries_semi(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 'not_started' WHEN c_acctbal < 0 THEN 'incomplete' ELSE 'complete' END AS status FROM customer")
 def repair_not_exists(spark: SparkSession, d: str) -> DataFrame:
     progress = table(spark, d, "customer").select(F.col("c_custkey"), F.when(F.col("c_acctbal") < 0, "incomplete").otherwise("complete").alias("status"))
-    having = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_has", F.lit(True))
-    joined = progress.join(having, "c_custkey", "left")
-    return joined.select("c_custkey", F.when((F.col("status") == "incomplete") & F.col("_has").isNull(), "not_started").otherwise(F.col("status")).alias("status"))
+    pages = table(spark, d, "orders").select(F.col("o_custkey").alias("query"))
+    return frontier.repaired(progress.withColumnRenamed("c_custkey", "query"), pages).withColumnRenamed("query", "c_custkey")
 
 
 # selection and audit
@@ -410,9 +409,9 @@ def audit_sample_hash(spark: SparkSession, d: str) -> DataFrame:
     return audit.sampled(audit.cases(_pending(spark, d), _STRATA), 20).select("reason", "url", "place")
 
 
-@query("SELECT source AS query, lang AS url, string_agg(DISTINCT left(text, 12), '|' ORDER BY left(text, 12)) AS titles FROM documents GROUP BY 1, 2")
+@query("""SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS query, url, string_agg(DISTINCT t, '|' ORDER BY t) AS titles FROM (SELECT *, regexp_extract(html, '<title>([^<]*)', 1) AS t FROM pages) GROUP BY 1, 2""")
 def search_details(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("source").alias("query"), F.col("lang").alias("url"), F.substring("text", 1, 12).alias("title"), F.lit("").alias("snippet"))
+    rows = table(spark, d, "pages").select(F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("query"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.lit("").alias("snippet"))
     return audit.search_details(rows).select("query", "url", F.array_join("titles", "|").alias("titles"))
 
 
@@ -491,15 +490,17 @@ def resolve_pages(spark: SparkSession, d: str) -> DataFrame:
 # stored state: lookups, scans, counters
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE conv_id = 7 AND turn = 0")
+@query("SELECT c.conv_id, c.turn, c.text FROM conversations c WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.conv_id AND l.toxic = c.turn)")
 def page_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").filter("conv_id = 7 and turn = 0").select("conv_id", "turn", "text")
+    wanted = table(spark, d, "labels").select(F.col("doc_id").alias("query"), F.col("toxic").alias("start"))
+    stored = table(spark, d, "conversations").select(F.col("conv_id").alias("query"), F.col("turn").alias("start"), "text")
+    return frontier.looked_up(stored, wanted).toDF("conv_id", "turn", "text")
 
 
-@query("SELECT turn, role, row_number() OVER (ORDER BY turn)::BIGINT AS place FROM conversations WHERE conv_id = 3")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS place FROM conversations")
 def saved_pages(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "conversations").filter("conv_id = 3")  # one query's pages
-    return one.select("turn", "role", F.row_number().over(frontier.Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("place"))
+    stored = table(spark, d, "conversations").select(F.col("conv_id").alias("query"), F.col("turn").alias("start"), "role")
+    return frontier.saved(stored).toDF("conv_id", "turn", "role", "place")
 
 
 @query("SELECT o_custkey AS query, o_orderkey AS discovered_url FROM orders ORDER BY o_custkey, o_orderkey")
@@ -526,13 +527,31 @@ def open_batch(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT coalesce(sum(o_custkey), 0)::BIGINT AS reserved, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done FROM orders")
 def reserved_sum(spark: SparkSession, d: str) -> DataFrame:
     rows = _batches(spark, d)
-    return rows.agg(F.coalesce(F.sum("reserved_pages"), F.lit(0)).alias("reserved"), F.count_if(F.col("status") == "done").alias("done"))
+    return rows.agg(F.count_if(F.col("status") == "done").alias("done")).withColumn("reserved", F.lit(planner.reserved_pages(rows)).cast("long"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'done' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'abandoned' ELSE 'planned' END AS status FROM orders")
 def batch_transitions(spark: SparkSession, d: str) -> DataFrame:
-    allowed = F.when(F.col("status") == "running", "done").otherwise(F.col("status"))
-    return _batches(spark, d).select("id", allowed.alias("status"))
+    return planner.moved(_batches(spark, d), F.col("status") == "running", "done").select("id", "status")
+
+
+@query("""WITH p AS (SELECT c_custkey, k, c_custkey % 5 = 0 AND k = c_custkey % 4 + 1 AS failed, c_custkey % 4 + 1 AS last FROM customer, range(1, 5) r(k) WHERE k <= c_custkey % 4 + 1)
+    SELECT 'q' || c_custkey::VARCHAR AS query, count(*) FILTER (NOT failed OR c_custkey % 7 = 0)::INT AS pages, max(last)::INT AS last_page, coalesce(string_agg(k::VARCHAR, ',') FILTER (failed), '') AS failed_pages,
+    CASE WHEN bool_or(failed) THEN 'incomplete' WHEN max(last) = 4 THEN 'limited' ELSE 'complete' END AS status, CASE WHEN bool_or(failed) THEN 'apify_search_page_failed' WHEN max(last) = 4 THEN 'max_pages' ELSE '' END AS reason FROM p GROUP BY c_custkey""")
+def batch_import(spark: SparkSession, d: str) -> DataFrame:
+    """One batch with every customer as a query, 1 to 4 pages each, some last pages failed, some of those there too."""
+    from .plans.batch_import import coverage_of, judged
+
+    queries = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("q"), F.col("c_custkey").cast("string")).alias("query"))
+    pages = queries.withColumn("page", F.explode(F.sequence(F.lit(1), (F.col("c_custkey") % 4 + 1).cast("int"))))
+    failed = (F.col("c_custkey") % 5 == 0) & (F.col("page") == F.col("c_custkey") % 4 + 1)
+    good = F.to_json(F.struct(F.struct(F.col("query").alias("term"), "page").alias("searchQuery"), F.array(F.struct(F.concat(F.lit("https://x.example/"), "query").alias("url"))).alias("organicResults")))
+    address = F.concat(F.lit("https://www.google.com/search?q="), "query", F.lit("&start="), ((F.col("page") - 1) * 10).cast("string"))
+    bad = F.to_json(F.struct(F.lit(True).alias("#error"), F.struct(F.lit("GET").alias("method"), address.alias("url"), F.lit(3).alias("retryCount")).alias("#debug")))
+    items = pages.withColumn("payload", F.explode(F.when(failed & (F.col("c_custkey") % 7 == 0), F.array(good, bad)).when(failed, F.array(bad)).otherwise(F.array(good))))
+    items = items.select(F.xxhash64("query", "page", "payload").alias("record"), "payload")
+    found = coverage_of(judged(items, queries, 4), F.lit(""), 4)
+    return found.select("query", "pages", "last_page", F.array_join(F.col("failed_pages").cast("array<string>"), ",").alias("failed_pages"), "status", "reason")
 
 
 @query("SELECT string_agg(n_name || '=' || n_regionkey::VARCHAR, ';' ORDER BY n_name) AS metadata FROM nation")
@@ -550,11 +569,11 @@ def exit_code(spark: SparkSession, d: str) -> DataFrame:
 # text and JSON scalars
 
 
-@query("""SELECT doc_id, regexp_extract(left(text, 60), '(?i)\\b(of the|in the|de la|und der)\\b', 1) AS phrase, string_agg(DISTINCT x, ',' ORDER BY x) AS types FROM (SELECT doc_id, text, unnest([lang, source, 'schema/' || lang]) AS y, string_split(y, '/')[-1] AS x FROM documents) GROUP BY doc_id, text""")
+@query("""SELECT doc_id, regexp_extract(coalesce(text, ''), '(?i)(?:^|[^a-z0-9])(of the|in the|de la|und der)(?:[^a-z0-9]|$)', 1) AS phrase, string_agg(DISTINCT x, ',' ORDER BY x) AS types FROM (SELECT doc_id, text, unnest([lang, source, 'schema/' || lang]) AS y, string_split(y, '/')[-1] AS x FROM documents) GROUP BY doc_id, text""")
 def phrase_and_types(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     types = F.array(F.col("lang"), F.col("source"), F.concat(F.lit("schema/"), F.col("lang")))
-    return docs.select("doc_id", F.regexp_extract(F.substring("text", 1, 60), r"(?i)\b(of the|in the|de la|und der)\b", 1).alias("phrase"), F.array_join(T.type_names(types), ",").alias("types"))
+    return docs.select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), r"(?i)(?:^|[^a-z0-9])(of the|in the|de la|und der)(?:[^a-z0-9]|$)", 1).alias("phrase"), F.array_join(T.type_names(types), ",").alias("types"))
 
 
 @query(f"""SELECT page_id, CASE WHEN ends_with({_HOST}, 'example.org') THEN 'non_institutional_source' WHEN page_id % 7 = 0 THEN 'site_http_403' WHEN page_id % 5 = 0 THEN 'site_not_html' WHEN page_id % 3 = 0 THEN 'site_interstitial' END AS error FROM pages""")

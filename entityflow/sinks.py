@@ -4,12 +4,17 @@ driver in order (toLocalIterator), a partition at a time; everything is checked
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import os
+import re
+import traceback
 import zipfile
 from collections.abc import Iterable
+from datetime import UTC, datetime
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,3 +128,17 @@ def recheck_files(before: DataFrame, after: DataFrame, folder: str) -> dict:
     _replace(path / "recheck_changes.json", json_array(changed.toLocalIterator()))
     _replace(path / "recheck_summary.json", [json.dumps(summary).encode()])
     return summary
+
+
+def worker_error(error: BaseException, folder: str, query: str, url: str, phase: str) -> dict:
+    """worker_error.json: where a worker failed, without messages, source lines, values or the url's query."""
+    path = guarded(folder, Path(__file__).resolve().parent.parent)
+    parts = urlsplit(url if "://" in url else "")
+    clean = lambda x: re.sub(r"[^\x20-\x7e\xa0-\uffff]", " ", re.sub(r"apify_api_[A-Za-z0-9_-]+", "[redacted]", x))[:500]
+    details = {
+        "captured_at": datetime.now(UTC).isoformat(), "query": clean(query), "source_location": clean(f"{parts.scheme}://{parts.netloc.rpartition('@')[2]}{parts.path}") if parts.netloc else "[invalid URL]",
+        "source_url_sha256": hashlib.sha256(url.encode("utf-8", "replace")).hexdigest(), "phase": phase, "exception_type": clean(type(error).__name__),
+        "frames": [{"file": clean(Path(f.filename).name), "line": f.lineno, "function": clean(f.name)} for f in traceback.extract_tb(error.__traceback__)[-12:]],
+    }
+    _replace(path / "worker_error.json", [json.dumps(details, indent=2).encode()])
+    return details

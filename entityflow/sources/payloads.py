@@ -11,7 +11,7 @@ LEGACY = "search_metadata struct<status:string>, search_information struct<organ
 RESULTS = "array<struct<title:string,url:string,snippet:string>>"
 
 
-def _kind(payload: Column, path: str) -> Column:
+def json_type(payload: Column, path: str) -> Column:
     """JSON type name at a path, null without a value."""
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), path, "variant")), r"^[A-Z]+", 0)
 
@@ -29,7 +29,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     now, old = F.from_json("payload", CURRENT), F.from_json("payload", LEGACY)
     rows = pages.withColumn("_now", now).withColumn("_old", old)
     current = F.col("_now.provider").eqNullSafe("apify-google")
-    kinds = {c: _kind(F.col("payload"), f"$.{c}") for c in ("organicResults", "has_next", "end_status", "end_reason", "search_error")}
+    kinds = {c: json_type(F.col("payload"), f"$.{c}") for c in ("organicResults", "has_next", "end_status", "end_reason", "search_error")}
     bad_url = F.exists("_now.organicResults", lambda r: r["url"].isNull() | (r["url"] == ""))
     wrong = (
         F.when(~kinds["organicResults"].eqNullSafe("ARRAY") | F.coalesce(bad_url, F.lit(False)), "organic_result")

@@ -1,13 +1,14 @@
 """Stored state: immutable versions of Parquet tables and a pointer to the current one.
 
-A change writes whole new tables into a new version and then renames one small pointer file, so readers
-see all of a change or none of it, and an interrupted writer leaves the old version current.
+A change writes whole new tables into a new version and then one small pointer file of the next number, so
+readers see all of a change or none of it, and an interrupted writer leaves the old version current.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,38 +53,48 @@ class State:
         self._path = lambda name: hadoop(f"{self.folder}/{name}")
         self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        if not self._fs.exists(self._path(name)):
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointers that are there, ascending."""
+        root = self._path("x").getParent()
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"current-(\d+)\.json", n)))
+
+    def _current(self) -> dict | None:
+        numbers = self._pointers()
+        if not numbers:
             return None
-        stream = self._fs.open(self._path(name))
+        stream = self._fs.open(self._path(f"current-{numbers[-1]:012d}.json"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode()) | {"number": numbers[-1]}
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
-        temporary = f"{name}.{uuid.uuid4().hex}"
-        stream = self._fs.create(self._path(temporary), True)
-        stream.write(bytearray(text.encode()))
+    def _point(self, pointer: dict, number: int) -> None:
+        """Writes the pointer beside and renames it to the next number: the one before stays whole, so a
+        reader or a crash at any moment finds it. Another writer's pointer of that number is refused."""
+        temporary, name = self._path(f"pointer.{uuid.uuid4().hex}"), self._path(f"current-{number:012d}.json")
+        stream = self._fs.create(temporary, True)
+        stream.write(bytearray(json.dumps(pointer, ensure_ascii=False).encode()))
         stream.close()
-        if self._fs.exists(self._path(name)):
-            self._fs.delete(self._path(name), False)
-        self._fs.rename(self._path(temporary), self._path(name))
+        if self._fs.exists(name) or not self._fs.rename(temporary, name):
+            self._fs.delete(temporary, False)
+            raise StateError("state_changed_meanwhile")
+        for old in self._pointers()[:-2]:
+            self._fs.delete(self._path(f"current-{old:012d}.json"), False)
 
     def meta(self) -> dict:
         """The current pointer: version, schema_version, config, tables. Another schema is refused before
         anything is touched."""
-        text = self._read("current.json")
-        if text is None:
+        found = self._current()
+        if found is None:
             raise StateError("state_missing")
-        found = json.loads(text)
         if found.get("schema_version") != SCHEMA_VERSION:
             raise StateError("unsupported_schema_version")
         return found
 
     def create(self, config: dict) -> None:
         """A new empty state, or the existing one if its settings are the same."""
-        if self._read("current.json") is not None:
+        if self._pointers():
             if fingerprint(self.meta()["config"]) != fingerprint(config):
                 raise StateError("config_mismatch")
             return
@@ -96,12 +107,22 @@ class State:
         """Writes the given tables as a new version and makes it current; the others stay."""
         if self.readonly:
             raise StateError("state_readonly")
-        now = {"tables": {}, "config": config} if self._read("current.json") is None else self.meta()
+        now = self.meta() if self._pointers() else {"tables": {}, "config": config, "number": 0}
+        number = now.pop("number") + 1
         version = uuid.uuid4().hex
         for name, frame in tables.items():
             frame.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.folder}/{version}/{name}")
             now["tables"][name] = f"{version}/{name}"
-        self._write("current.json", json.dumps(now | {"version": version, "schema_version": SCHEMA_VERSION}, ensure_ascii=False))
+        self._point(now | {"version": version, "schema_version": SCHEMA_VERSION}, number)
+
+    def reserve_request(self, maximum: int) -> int:
+        """Counts one more search request and gives the total; refuses to pass the maximum."""
+        now = self.meta()
+        number, total = now.pop("number"), now.get("requests", 0) + 1
+        if total > maximum:
+            raise StateError("search_request_limit")
+        self._point(now | {"requests": total}, number + 1)
+        return total
 
     def upsert(self, **deltas: DataFrame) -> None:
         self.commit({name: upserted(self.table(name), delta, KEYS[name]) for name, delta in deltas.items()})

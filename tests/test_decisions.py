@@ -63,6 +63,7 @@ CASES = [
     ({ROOT: TITLE + '<img alt="Other logo">' + OFFER}, ROOT, "pending", None),
     ({ROOT: TITLE + '<a href="/about">About</a>' + OFFER, ROOT + "about": ORG}, ROOT, "confirmed", None),
     ({ROOT: TITLE + '<a href="https://other.example/about">About</a>' + OFFER}, ROOT, "pending", None),
+    ({ROOT: TITLE + '<a href="mailto:a@b.example">Contact us</a><a href="/about">About</a>' + OFFER, ROOT + "about": ORG}, ROOT, "pending", "invalid_url"),
     ({ROOT + "product": (403, ""), ROOT: ORG + OFFER}, ROOT + "product", "confirmed", None),
     ({ROOT + "product": (403, ""), ROOT: TITLE}, ROOT + "product", "pending", "site_http_403"),
     ({ROOT + "news/product": ld({"@type": "Article"}), ROOT: (403, "")}, ROOT + "news/product", "pending", "site_http_403"),

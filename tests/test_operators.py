@@ -2,6 +2,8 @@
 
 import json
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +227,105 @@ def test_migration(spark, tmp_path):
     old = {k: spark.createDataFrame([], SCHEMAS[k]) for k in ("pages", "resolutions", "progress")}
     state.migrate(old, {"queries": []})
     assert state.meta()["schema_version"] == "2" and set(state.snapshot()) == set(SCHEMAS)
+
+
+def test_a_crash_between_versions_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    state = State(spark, str(tmp_path / "state"))
+    state.create({"queries": ["q"]})
+    row = spark.createDataFrame([("q", "complete", "")], SCHEMAS["progress"])
+    monkeypatch.setattr(State, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        state.upsert(progress=row)
+    monkeypatch.undo()
+    (tmp_path / "state/pointer.left-over").write_text("{")
+    assert state.table("progress").count() == 0
+    state.upsert(progress=row)
+    state.upsert(progress=row)
+    assert state.table("progress").count() == 1 and len(list((tmp_path / "state").glob("current-*.json"))) == 2
+    with pytest.raises(StateError, match="state_changed_meanwhile"):
+        state._point({}, state.meta()["number"])
+    assert [state.reserve_request(2) for _ in range(2)] == [1, 2]
+    with pytest.raises(StateError, match="search_request_limit"):
+        state.reserve_request(2)
+
+
+def failure(term, page, **change):
+    debug = {"method": "GET", "url": f"http://www.google.com/search?q={term}&start={(page - 1) * 10}", "retryCount": 3, "requestId": "j6Yf", "errorMessages": ["apify_api_private"]}
+    return {"#error": True, "#debug": debug} | change
+
+
+def success(term, page):
+    return {"searchQuery": {"term": term, "page": page}, "organicResults": [{"url": f"https://{term}{page}.example/"}]}
+
+
+def started(spark, folder, queries):
+    state = State(spark, str(folder))
+    state.create({"queries": queries})
+    state.upsert(batches=spark.createDataFrame([(1, queries, 10, "run", "running")], SCHEMAS["batches"]))
+    return state
+
+
+def test_batch_import(spark, tmp_path):
+    from entityflow.plans.batch_import import import_batch
+
+    state = started(spark, tmp_path / "s", ["q", "r", "t"])
+    items = [success("q", 1), failure("q", 2), success("q", 3), failure("r", 1), success("t", 1), failure("t", 1), success("t", 2)]
+    frame = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items)], "record int, payload string")
+    evidence = dict(cost_usd=1.0, cost_limit_usd=4.0, status="SUCCEEDED", exit_code=0, pending_requests=0, handled_requests=7, run_id="run")
+    got = import_batch(state, 1, frame, evidence, 5)
+    assert got["dataset_records"] == 7 and got["completion_reason"] == "" and got["search_errors"][0] == {"query": "q", "page": 2, "reason": "apify_search_page_failed", "retry_count": 3, "request_id": "j6Yf"}
+    covered = {r["query"]: (r["pages"], r["last_page"], r["failed_pages"], r["status"], r["reason"]) for r in state.table("coverage").collect()}
+    bad = ("incomplete", "apify_search_page_failed")
+    assert covered == {"q": (2, 3, [2], *bad), "r": (0, 1, [1], *bad), "t": (2, 2, [1], *bad)}
+    parsed = {(r["query"], r["start"]): r for r in payloads.parsed(state.table("pages")).collect()}
+    assert len(parsed) == 6 and all(r["problem"] is None for r in parsed.values())
+    assert parsed["q", 10]["search_error"] and parsed["q", 10]["next_start"] == 20 and parsed["q", 20]["next_start"] is None and parsed["t", 0]["results"][0]["url"] == "https://t1.example/" and not parsed["t", 0]["search_error"]
+    assert "apify_api_private" not in str([r["payload"] for r in state.table("pages").collect()])
+    assert [r["status"] for r in state.table("batches").collect()] == ["done"]
+
+
+@pytest.mark.parametrize(
+    ("items", "problem"),
+    [
+        ([success("q", 1), failure("q", 2, **{"#debug": None})], "apify_unmapped_search_error"),
+        ([success("q", 1), failure("q", 2, searchQuery={"term": "q", "page": 3})], "apify_unmapped_search_error"),
+        ([success("q", 1), failure("q", 2, organicResults=[{"url": "https://x.example/"}])], "apify_unmapped_search_error"),
+        ([success("q", 1), failure("other", 2)], "apify_unmapped_search_error"),
+        ([success("q", 1), failure("q", 3)], "apify_missing_intermediate_page"),
+        ([success("q", 2)], "apify_omitted_queries"),
+        ([success("q", 1), success("q", 1)], "apify_duplicate_query_page"),
+        ([success("q", 9)], "apify_unexpected_query_or_page"),
+        ([{"organicResults": []}], "apify_missing_search_query"),
+        ([{"searchQuery": {"term": "q", "page": 1}}], "apify_missing_organic_results"),
+        ([], "apify_empty_dataset"),
+    ],
+)
+def test_batch_import_is_refused_whole(spark, tmp_path, items, problem):
+    from entityflow.plans.batch_import import import_batch
+
+    state = started(spark, tmp_path / "s", ["q"])
+    frame = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items)], "record int, payload string")
+    with pytest.raises(StateError, match=problem):
+        import_batch(state, 1, frame, {}, 5)
+    assert state.table("pages").count() == 0 and state.table("coverage").count() == 0 and planner.open_batch(state.table("batches")).count() == 1
+
+
+def test_names_beyond_ascii(spark):
+    names = ["São Tomé", "Ærø ﬁn ™", "Ｗｉｄｅ①", "Łódź", "Straße GmbH", "株式会社", "Ελλάς Inc."]
+    frame = spark.createDataFrame([(x,) for x in names], "n string").select("n", T.slug(F.col("n")).alias("s"), T.name_key(F.col("n")).alias("k"))
+    got = {r["n"]: r for r in frame.collect()}
+    for x in names:
+        ascii_name = unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode()
+        assert got[x]["s"] == re.sub(r"[^A-Za-z0-9._-]+", "-", ascii_name).strip(".-_").lower(), x
+        assert got[x]["k"].replace("ς", "σ") == P.name_key(x), x
+
+
+def test_worker_error(tmp_path):
+    from entityflow.sinks import worker_error
+
+    try:
+        raise KeyError("apify_api_secret")
+    except KeyError as error:
+        worker_error(error, str(tmp_path), "q apify_api_x1", "https://u:p@h.example/a?b=c#d", "resolve")
+    got = json.loads((tmp_path / "worker_error.json").read_text())
+    assert got["query"] == "q [redacted]" and got["source_location"] == "https://h.example/a" and got["exception_type"] == "KeyError" and got["frames"][-1]["function"] == "test_worker_error" and "secret" not in str(got)
