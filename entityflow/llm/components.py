@@ -10,13 +10,13 @@ from .store import checkpointed
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
+    least = checkpointed(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least")))
     return both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("least"))
+    least = checkpointed(down.groupBy("src").agg(F.min("dst").alias("least")))
     moved = down.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
     return moved.unionByName(least.select("src", F.col("least").alias("dst"))).distinct()
 
@@ -25,22 +25,22 @@ def contracted(edges: DataFrame) -> DataFrame:
     """Edges (src > dst) with the same components as edges after one round of both steps: already stars where
     components are small in diameter. Each src has one or more dst."""
     # written first: the steps read their edges many times, and each reading is a copy of the plan
-    return checkpointed(_small_star(_large_star(checkpointed(edges.select("src", "dst").filter("src <> dst").distinct()))))
+    return checkpointed(_small_star(checkpointed(_large_star(checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())))))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge; edges has columns src and dst of one orderable
     type, in any direction, repeated or not. component is the smallest node that can be reached.
 
-    Each step joins edges with one minimum per node, so a node of very many edges is split by the
-    skewed-join rule rather than gathered. Steps are checkpointed; the loop ends when a round of both
+    Each step joins edges with one minimum per node. The minima are written first, so that the join deals
+    both sides itself and a node of very many edges is split by the skewed-join rule rather than gathered. Steps are checkpointed; the loop ends when a round of both
     steps changes no edge. Edges with a null end and loops are left out; no edges give no rows.
     """
     state = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")))
     now = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
     before = None
     while True:
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(checkpointed(_large_star(now))))
         after = now.select(state).first()[0]
         if after == before or not after[0]:
             break
