@@ -291,6 +291,69 @@ def test_passages(spark, empty):
     assert paragraph_dedup.repeated_passages(empty).count() == 0
 
 
+def brute_lines(rows_, part=80, whole=100, least=50):
+    """doc -> [(first word, end, least document of the class)] of similar lines in runs of `least` words in two documents."""
+    lines = []
+    for doc, text in rows_:
+        at = 0
+        for line in (text or "").split("\n"):
+            w = words(line)
+            lines += [(doc, at, at + len(w), frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))] if w else []
+            at += len(w)
+    label = list(range(len(lines)))
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        a, b = lines[i][3], lines[j][3]
+        if label[i] != label[j] and whole * len(a & b) >= part * len(a | b):
+            old = label[j]
+            label = [label[i] if x == old else x for x in label]
+    docs_ = lambda members: {x: {m[0] for m in members if m[3] == x} for x in {m[3] for m in members}}
+    members = [(doc, a, z, x) for (doc, a, z, _), x in zip(lines, label, strict=True)]
+    several, runs = docs_(members), []
+    for m in members:
+        if len(several[m[3]]) > 1:
+            if runs and runs[-1][-1][0] == m[0] and runs[-1][-1][2] == m[1]:
+                runs[-1].append(m)
+            else:
+                runs.append([m])
+    members = [m for run in runs if run[-1][2] - run[0][1] >= least for m in run]
+    several, found = docs_(members), {}
+    for doc, a, z, x in members:
+        if len(several[x]) > 1:
+            found.setdefault(doc, []).append((a, z, min(several[x])))
+    return found
+
+
+def test_edited_passages(spark):
+    """Lines of 100 words with two edits, so that no 50 words in a row are unchanged; chains of edits; short lines beside
+    each other, with a line without words between; runs under 50 words; a short line of many documents inside an edited or
+    equal copy; beside a word-for-word passage; null ids."""
+    fill = lambda n: " ".join(f"g{RANDOM.random():.9f}"[:10].replace(".", "") for _ in range(n))
+    edit = lambda text, *at: " ".join(f"edit{i}" if i in at else w for i, w in enumerate(text.split()))
+    line, other, exact, short = fill(100), fill(100), fill(70), [fill(20) for _ in range(3)]
+    texts = [f"{fill(9)}\n{line}\n{fill(20)}", f"{edit(line, 33, 66)}\n{fill(30)}", f"{fill(60)}\n{edit(line, 20, 33, 66)}.", edit(line, 10, 20, 30, 40, 50, 60, 70, 80, 90)]
+    texts += ["\n".join([fill(12), *short]), "\n".join([*short[:2], "--", short[2], fill(5)]), "\n".join([fill(7), *short[:2], fill(7)])]
+    texts += [f"{other}\n{exact} {fill(50)}", f"{fill(40)} {exact}\n{edit(other, 33, 66)}", f"{edit(other, 33, 66)} {exact}", edit(other, 33, 66), None, "", "--"]
+    notice, body, whole = fill(9), fill(100), fill(90)
+    texts += [f"{notice}\n{fill(80)}", f"{notice}\n{body}", f"{notice}\n{edit(body, 33, 66)}", f"{whole}\n{notice}", f"{whole}\n{notice}"]
+    rows_ = [(i, t) for i, t in enumerate(texts)]
+    want, similar = {}, brute_lines(rows_)
+    for doc, a, z, gone in brute_passages(rows_, 50):
+        want |= {(doc, i): gone for i in range(a, z)}
+    for doc, found in similar.items():
+        for a, z, first in found:
+            want |= {(doc, i): want.get((doc, i), False) or first < doc for i in range(a, z)}
+    frame = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    found = paragraph_dedup.repeated_passages(frame, alike=paragraph_dedup.LINES).cache()
+    got = {(r["doc_id"], i): r["removed"] for r in found.collect() for i in range(r["start_word"], r["end_word"])}
+    assert got == want and found.agg(F.sum("n_words")).first()[0] == len(want)
+    assert [got.get((1, i)) for i in range(130)] == [True] * 100 + [None] * 30 and (6, 10) not in got and (3, 0) not in got
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 4: 4, 5: 4, 7: 7, 8: 7, 9: 7, 10: 7, 15: 15, 16: 15, 17: 15, 18: 15}  # the notice stands in repeated passages of both pairs
+    left = {r["doc_id"]: words(r["text"]) for r in paragraph_dedup.without_repeats(frame, found).collect()}
+    assert all(left[doc] == [w for i, w in enumerate(words(text)) if not want.get((doc, i))] for doc, text in rows_)
+    nulls = spark.createDataFrame([(None, line), (None, edit(line, 33, 66)), (7, edit(line, 50)), (7, edit(line, 51))], "doc_id long, text string")
+    assert {tuple(r) for r in paragraph_dedup.repeated_passages(nulls, alike=paragraph_dedup.LINES).select("doc_id", "start_word", "end_word", "removed", "component_id").collect()} == {(7, 0, 100, False, 7), (None, 0, 100, True, 7)}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
