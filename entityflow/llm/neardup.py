@@ -134,7 +134,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, how: Likeness) -> DataFrame:
     brief = nodes.select("node", "n", "minima")
     left, right = (brief.toDF(*names) for names in (("src", "n", "minima"), ("dst", "n2", "minima2")))
     near = pairs.join(left, "src").join(right, "dst").filter(F.least("n", "n2") * how.whole >= F.greatest("n", "n2") * how.part)
-    likely = map_arrow(near.select("src", "dst", "minima", "minima2"), agree, "src long, dst long")
+    # written, as what comes from it is: the driver plans a query anew after each of its stages, whole
+    likely = checkpointed(map_arrow(near.select("src", "dst", "minima", "minima2"), agree, "src long, dst long"))
     long = nodes.select("node", "text")
     left, right = (long.toDF(*names) for names in (("src", "text"), ("dst", "text2")))
     return map_arrow(likely.join(left, "src").join(right, "dst").select("src", "dst", "text", "text2"), same, "src long, dst long")
@@ -192,12 +193,12 @@ def _across(nodes: DataFrame, how: Likeness) -> DataFrame:
     several = found.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
     held = checkpointed(bounds(found, 2).join(several, "token"))
     need = f"{part} * (lo1 + greatest(lo1, lo2))"
-    labels = bounds(lesser, 1).join(held, "token").filter(f"label1 <> label2 and lo1 <= hi2 and hi1 * {whole} >= lo2 * {part} and rest1 * {total} >= {need} and rest2 * {total} >= {need}")
+    labels = checkpointed(bounds(lesser, 1).join(held, "token").filter(f"label1 <> label2 and lo1 <= hi2 and hi1 * {whole} >= lo2 * {part} and rest1 * {total} >= {need} and rest2 * {total} >= {need}").select("token", "label1", "label2"))
     left = labels.select("token", F.col("label1").alias("label"), "label2").join(lesser, ["token", "label"]).select("token", "label2", F.col("node").alias("src"), F.col("size").alias("n"), F.col("place").alias("p"))
     right = found.select("token", F.col("label").alias("label2"), F.col("node").alias("dst"), F.col("size").alias("n2"), F.col("place").alias("p2"))
     need = f"{part} * (n + n2)"
     near = left.join(right, ["token", "label2"]).filter(f"(n < n2 or (n = n2 and src < dst)) and n * {whole} >= n2 * {part} and (n - p) * {total} >= {need} and (n2 - p2) * {total} >= {need}")
-    return near.select("src", "dst").distinct()
+    return checkpointed(near.select("src", "dst").distinct())
 
 
 def near_classes(texts: DataFrame, how: Likeness) -> DataFrame:
@@ -219,12 +220,15 @@ def near_classes(texts: DataFrame, how: Likeness) -> DataFrame:
     found = links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label"))
     labelled = checkpointed(placed.join(found, "node", "left").select("key", "node", F.coalesce("label", F.col("node")).alias("label")))
     open_keys = checkpointed(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key"))
-    still = checkpointed(labelled.join(open_keys, "key").select("node", "label").distinct())
-    more = _verified(_across(nodes.join(still, "node").select("node", "label", "text"), how), nodes, how)
-    final = components(links.unionByName(more)).withColumnRenamed("component", "label")
+    if open_keys.head(1):
+        still = checkpointed(labelled.join(open_keys, "key").select("node", "label").distinct())
+        more = _verified(_across(nodes.join(still, "node").select("node", "label", "text"), how), nodes, how)
+        links = links.unionByName(more)
+    final = components(links).withColumnRenamed("component", "label")
     sets = rows.filter("one is not null").groupBy("one", "two").agg(F.min("id").alias("least"))
-    sets = sets.join(final, sets["one"] == final["node"], "left").select("one", "two", "least", "label")
-    top = sets.filter("label is not null").groupBy("label").agg(F.min("least").alias("top"))
-    named = sets.join(top, "label", "left").select("one", "two", F.coalesce("top", "least").alias("class"))
+    sets = checkpointed(sets.join(final, sets["one"] == final["node"], "left").select("one", "two", "least", "label"))
+    top = sets.filter("label is not null").groupBy("label").agg(F.min("least").alias("class"))
+    # sets without a link stay where they are
+    named = sets.join(top, "label").select("one", "two", "class").unionByName(sets.filter("label is null").select("one", "two", F.col("least").alias("class")))
     kept = rows.select("id", "n_words", "n_shingles", "one", "two")
     return kept.join(named, ["one", "two"], "left").select("id", "n_words", "n_shingles", "class")

@@ -91,6 +91,30 @@ def test_components(spark, edges):
     assert got == want
 
 
+@pytest.fixture
+def written(spark, monkeypatch):
+    """The number of exchanges in the plan of each frame that is checkpointed, from here on."""
+    seen, kind = [], type(spark.range(0))
+
+    def checkpoint(self, *args, before=kind.checkpoint):
+        seen.append(len(re.findall(r"(?<!Broadcast)Exchange", self._jdf.queryExecution().executedPlan().toString())))
+        return before(self, *args)
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    return seen
+
+
+def test_stars_take_no_rounds(spark, written):
+    stars = spark.createDataFrame([(5, 1), (7, 1), (6, 2)], "src long, dst long")
+    assert rows(components.components(stars), "node", "component") == [(1, 1), (2, 2), (5, 1), (6, 2), (7, 1)] and len(written) == 1
+
+
+def test_foretold_sizes_do_not_multiply(spark):
+    """Sizes of joins are products; from step to step they grew to numbers of megabytes."""
+    found = components.components(spark.createDataFrame([(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)], "src long, dst long"))
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200 and {r["component"] for r in found.collect()} == {0}
+
+
 def test_near_duplicates(spark, docs, texts, empty):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect()}
     sets = {i: shingled(t, 5, SPACED) for i, t in enumerate(texts)}
@@ -107,6 +131,15 @@ def test_near_duplicates(spark, docs, texts, empty):
     assert minhash_dedup.deduplicated(empty).count() == 0
 
 
+def test_no_plan_is_large(spark, written):
+    """The driver plans a query anew after each of its stages: what is joined many times is written in between."""
+    family = [(i, "\n".join(" ".join(f"e{j}" if j < i * 12 else f"w{j}" for j in range(k, k + 80)) for k in range(0, 400, 80))) for i in range(12)]
+    frame = spark.createDataFrame([*family, (50, family[0][1])], "doc_id long, text string")
+    assert paragraph_dedup.repeated_passages(frame, alike=paragraph_dedup.LINES).count()
+    assert minhash_dedup.deduplicated(frame).count() < 13
+    assert max(written) <= 6, written
+
+
 def test_near_duplicates_of_a_family_without_a_centre(spark):
     """A chain of texts, each like its neighbours only: links that no star's centre sees must not be lost."""
     base = [f"w{i}" for i in range(400)]
